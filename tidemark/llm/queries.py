@@ -9,9 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
-from tidemark.llm.shared import table
+from tidemark.llm import packing, quality_rules, token_counts, token_output
+from tidemark.llm.shared import new_path, table
+
+
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +27,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path, end_id=2)
+    return token_output.read_back(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
+    "op6_token_output": op6_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
