@@ -1,10 +1,10 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A 64-bit fingerprint is cut into 16 segments; the bit counts of its segments
+A 64-bit fingerprint is cut into 32 segments; the bit counts of its segments
 are a point, and the Manhattan distance of two points never exceeds the bits in
 which the fingerprints differ. Points within distance 2 share a grid cell at
 distance 1 or less from both, so each fingerprint enters its own cell and those
-one step away (33 at most), and only those that meet another there go on. The
+one step away (65 at most), and only those that meet another there go on. The
 exact check uses the same step on bits: fingerprints at 2 or fewer differing
 bits share a code at distance 1 or less from both, and all that share one are
 linked; each is tied to the smallest of them. Equal fingerprints are one vertex
@@ -33,7 +33,7 @@ from tidemark.llm.shared import written
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 16
+SEGMENTS = 32
 _CHUNK = 1 << 14
 
 
