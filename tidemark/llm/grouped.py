@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path
+from tidemark.llm.shared import freeing, new_path
 
 #: Text of a group, about.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 def joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -39,6 +39,33 @@ def packed_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def upper(x: np.ndarray, size: int) -> bytes:
+    """The upper bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes()
+
+
+def from_upper(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, 8 - size :] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers as steps of 4 bytes behind the first, or whole if a step
+    is larger; steps are small, so the shuffle's compression removes most."""
+    steps = np.diff(x)
+    if not len(x) or steps.max(initial=0) >= 1 << 32:
+        return b"w" + x.astype("<i8").tobytes()
+    return b"s" + x[:1].astype("<i8").tobytes() + steps.astype("<u4").tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if data[:1] == b"w":
+        return np.frombuffer(data, "<i8", offset=1).copy()
+    steps = np.frombuffer(data, "<u4", offset=9).astype(np.int64)
+    return np.concatenate([np.frombuffer(data[1:9], "<i8"), steps]).cumsum()
+
+
 _TYPES = {"int32": "int", "binary": "binary", "int64": "long", "string": "string"}
 
 
@@ -86,5 +113,6 @@ def bucketed(documents: DataFrame, groups: int) -> DataFrame:
     dealt = plain.withColumn("q", group_of(F.col("doc_id"), groups))
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     buckets = min(groups, 4096)
-    dealt.repartition(buckets, "q").write.option("path", new_path(spark, "texts")).option("compression", "zstd").bucketBy(buckets, "q").sortBy("q").saveAsTable(name)
+    with freeing(spark):
+        dealt.repartition(buckets, "q").write.option("path", new_path(spark, "texts")).option("compression", "zstd").bucketBy(buckets, "q").sortBy("q").saveAsTable(name)
     return spark.table(name)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files when the query ends."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage: losing an executor later costs a re-read, not a re-run.
+    The shuffle files behind it are freed at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,10 +68,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps.
-
-    It does so once the driver has collected the plans that made them.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import textscan as ts
-from tidemark.llm.grouped import GROUP_BYTES, bucketed, ddl, first_of, joined, packed_table, several, split, text_bytes
-from tidemark.llm.shared import released, written
+from tidemark.llm.grouped import GROUP_BYTES, bucketed, ddl, first_of, from_upper, joined, pack_sorted, packed_table, several, split, text_bytes, unpack_sorted, upper
+from tidemark.llm.shared import written
 
 LENGTH = 50
 GRAM = 18
@@ -145,18 +145,6 @@ class Group:
 
 # -- columns of packed numbers
 
-
-def _six(x: np.ndarray) -> bytes:
-    """The upper six bytes of each number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
 _ENTRY = pa.schema([("part", pa.int32()), ("q", pa.int32()), *((k, pa.binary()) for k in ("h", "c", "r", "l", "d"))])
 _VERDICT = pa.schema([("q", pa.int32()), *((k, pa.binary()) for k in ("full", "full_id", "open", "open_id", "side"))])
 _STRING = pa.schema([("part", pa.int32()), ("q", pa.int32()), ("w", pa.binary()), ("d", pa.binary())])
@@ -170,9 +158,8 @@ def enter(parts: int):
         part = ((e["h"] >> _U(16)) % _U(parts)).astype(np.int64)
         q = rows.column("q")[0].as_py() if rows.num_rows else 0
         by_id = np.argsort(e["id"], kind="stable")
-        cut = lambda x: (x >> _U(32)).astype("<u4")
-        columns = [x[by_id] for x in (e["h"], e["c"], cut(e["r"]), cut(e["l"]), e["id"])]
-        out = [(k, q, _six(h), _six(c), r.tobytes(), s.tobytes(), d.astype("<i8").tobytes()) for k, (h, c, r, s, d) in split(part[by_id], columns)]
+        columns = [e[x][by_id] for x in ("h", "c", "r", "l", "id")]
+        out = [(k, q, upper(h, 6), upper(c, 6), upper(r, 3), upper(s, 3), pack_sorted(d)) for k, (h, c, r, s, d) in split(part[by_id], columns)]
         return packed_table(out, _ENTRY)
 
     return run
@@ -182,11 +169,10 @@ def refine(rows: pa.Table) -> pa.Table:
     """Steps 1 and 2, by part of the identifiers: classes that repeat a smaller
     document's, and classes whose strings must be told apart."""
     blobs = {k: rows.column(k).to_pylist() for k in ("h", "c", "r", "l", "d")}
-    size = [len(x) // 8 for x in blobs["d"]]
-    q = np.repeat(rows.column("q").to_numpy(), size)
-    h, c = (_from_six(b"".join(blobs[k])) for k in ("h", "c"))
-    r, s = (np.frombuffer(b"".join(blobs[k]), "<u4") for k in ("r", "l"))
-    d = np.frombuffer(b"".join(blobs["d"]), "<i8")
+    ids = [unpack_sorted(x) for x in blobs["d"]]
+    q = np.repeat(rows.column("q").to_numpy(), [len(x) for x in ids])
+    h, c, r, s = (from_upper(b"".join(blobs[k]), n) for k, n in (("h", 6), ("c", 6), ("r", 3), ("l", 3)))
+    d = np.concatenate(ids)
     key = _class_key(h, c)
     order, begin = first_of([h, c], d)
     size = np.diff(np.append(begin, len(d)))
@@ -228,7 +214,7 @@ def spell(parts: int):
         w, ids = w[order[begin]], ids[order[begin]]
         q = rows.column("q")[0].as_py()
         by_id = np.argsort(ids, kind="stable")
-        out = [(k, q, x.tobytes(), d.astype("<i8").tobytes()) for k, (x, d) in split((w[by_id] % _U(parts)).astype(np.int64), [w[by_id], ids[by_id]])]
+        out = [(k, q, x.tobytes(), pack_sorted(d)) for k, (x, d) in split((w[by_id] % _U(parts)).astype(np.int64), [w[by_id], ids[by_id]])]
         return packed_table(out, _STRING)
 
     return run
@@ -236,9 +222,9 @@ def spell(parts: int):
 
 def tell(rows: pa.Table) -> pa.Table:
     """Step 3, by part of the strings: those that a smaller document has too."""
-    d = joined(rows.column("d"), "<i8")
-    w = joined(rows.column("w"), "<u8")
-    q = np.repeat(rows.column("q").to_numpy(), [len(x) // 8 for x in rows.column("d").to_pylist()])
+    each = [unpack_sorted(x) for x in rows.column("d").to_pylist()]
+    d, w = np.concatenate(each), joined(rows.column("w"), "<u8")
+    q = np.repeat(rows.column("q").to_numpy(), [len(x) for x in each])
     order, begin = first_of([w], d)
     first = np.empty(len(d), np.int64)
     first[order] = np.repeat(d[order[begin]], np.diff(np.append(begin, len(d)))) if len(d) else 0
@@ -265,9 +251,10 @@ def _finish(rows: pa.Table, verdicts: pa.Table) -> tuple[Group, np.ndarray]:
     high = np.minimum(a["p"] + LENGTH, group.offsets[a["of"] + 1])[full]
     start, w, ids = group.strings(*_open_anchors(a, verdicts))
     start = start[_smaller(w, ids, joined(verdicts.column("w"), "<u8"), joined(verdicts.column("w_id"), "<i8"))]
-    n = len(group.buf) + 1
-    step = np.bincount(low, minlength=n) + np.bincount(start, minlength=n) - np.bincount(high, minlength=n) - np.bincount(start + LENGTH, minlength=n)
-    return group, np.cumsum(step)[:-1] > 0
+    step = np.zeros(len(group.buf) + 1, np.int32)
+    for at, by in ((low, 1), (start, 1), (high, -1), (start + LENGTH, -1)):
+        np.add.at(step, at, by)
+    return group, np.cumsum(step, out=step)[:-1] > 0
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -292,18 +279,14 @@ def _cut(with_text: bool):
 def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept_text`` (the
     bytes left; characters cut in half are left out) of every document."""
-    spark = documents.sparkSession
     total = text_bytes(documents)
     groups = max(1, -(-total // GROUP_BYTES))
     parts = max(1, -(-total // (15 * PART_ROWS)))
     texts = bucketed(documents, groups)
-    released(spark)
     entries = texts.groupBy("q").applyInArrow(enter(parts), ddl(_ENTRY))
     verdicts = written(entries.groupBy("part").applyInArrow(refine, ddl(_VERDICT)), "verdicts")
-    released(spark)
     by_group = texts.groupBy("q")
     strings = by_group.cogroup(verdicts.where("open is not null").groupBy("q")).applyInArrow(spell(parts), ddl(_STRING))
     seen = written(strings.groupBy("part").applyInArrow(tell, ddl(_SEEN)), "seen")
-    released(spark)
     told = verdicts.unionByName(seen, allowMissingColumns=True)
     return by_group.cogroup(told.groupBy("q")).applyInArrow(_cut(with_text), ddl(_REPORT))
