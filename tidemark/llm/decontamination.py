@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe
 from tidemark.llm import textscan as ts
 from tidemark.llm.automaton import SuffixAutomaton
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh, written
 
 WINDOW = 13
 #: Bytes of benchmark text in a block: bounds what is broadcast at once.
@@ -140,11 +140,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``documents`` and ``_words`` (their number), ``_hit`` (a
-    bit for each word) and ``_items`` (ids of the items found, sorted)."""
+    """All columns of ``documents`` and three more at the end: the number of
+    words, a bit for each word hit, and the ids of the items found, sorted
+    (``_words``, ``_hit`` and ``_items``, or longer where these are taken)."""
     from pyspark.sql import types as T
 
-    marks = [T.StructField("_words", T.LongType()), T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))]
+    kinds = (T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()))
+    marks = [T.StructField(name, kind) for name, kind in zip(fresh(documents, "_words", "_hit", "_items"), kinds, strict=True)]
     rows, first = documents, True
     blocks = iter(_blocks(benchmark, block_bytes))
     block = next(blocks)
@@ -152,14 +154,19 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         following = next(blocks, None)
         shared = documents.sparkSession.sparkContext.broadcast(Block(block, window))
         schema = T.StructType([*documents.schema.fields, *marks])
-        rows = rows.mapInArrow(_marker(shared, first), schema)
+        rows = rows.mapInArrow(_marker(shared, first, [m.name for m in marks]), schema)
         if following is not None:
             rows = written(rows, "hits")
         block, first = following, False
     return rows
 
 
-def _marker(shared, first: bool):
+def _with_marks(schema: pa.Schema, n: int, names: list[str]) -> pa.Schema:
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.string()))
+    return pa.schema([*(schema.field(i) for i in range(n)), *(pa.field(k, t) for k, t in zip(names, kinds, strict=True))])
+
+
+def _marker(shared, first: bool, names_of: list[str]):
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -169,15 +176,15 @@ def _marker(shared, first: bool):
                 found: dict[int, set[str | None]] = defaultdict(set)
                 hit = np.zeros(len(hashes), bool)
                 if not first:
-                    for i, bits in enumerate(part.column("_hit").to_pylist()):
+                    for i, bits in enumerate(part.column(part.num_columns - 2).to_pylist()):
                         hit[bounds[i] : bounds[i + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(bounds[i + 1] - bounds[i])).astype(bool)
-                    for i, names in enumerate(part.column("_items").to_pylist()):
+                    for i, names in enumerate(part.column(part.num_columns - 1).to_pylist()):
                         found[i].update(names)
                 block.mark(hashes, document, hit, found)
                 columns = part.columns if first else part.columns[:-3]
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 names = [sorted(x for x in found.get(i, ()) if x is not None) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds), pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=[*part.schema.names[: len(columns)], "_words", "_hit", "_items"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds), pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=_with_marks(part.schema, len(columns), names_of))
 
     return marked
 
@@ -206,13 +213,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit = np.array([int.from_bytes(b, "big").bit_count() for b in batch.column("_hit").to_pylist()], np.int64)
-            n_words = batch.column("_words").to_numpy(zero_copy_only=False)
+            bits = batch.column(batch.num_columns - 2)
+            n_hit = np.array([int.from_bytes(b, "big").bit_count() for b in bits.to_pylist()], np.int64)
+            n_words = batch.column(batch.num_columns - 3).to_numpy(zero_copy_only=False)
             clean = batch.filter(pa.array((n_hit == 0) | (20 * n_hit < n_words)))
             columns = clean.columns[:-3]
             if cut:
                 i = clean.schema.get_field_index("text")
-                columns[i] = pa.array([_without(t, b) for t, b in zip(clean.column("text").to_pylist(), clean.column("_hit").to_pylist(), strict=True)], columns[i].type)
+                columns[i] = pa.array([_without(t, b) for t, b in zip(clean.column("text").to_pylist(), clean.column(clean.num_columns - 2).to_pylist(), strict=True)], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=clean.schema.names[:-3])
 
     return rows.mapInArrow(kept, kept_schema)

@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +100,17 @@ def cut_documents(documents: DataFrame, tokenizer_file: str, capacity: int, end_
 _PACKED = "doc_id long, doc_tokens long, crcs array<long>, first_sequence long, sequence_id long, offset long"
 
 
-def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "place", "doc_tokens"], kind="stable").reset_index(drop=True)
-    length = (rows["doc_tokens"] % capacity).to_numpy()
-    by_length = {int(k): list(v)[::-1] for k, v in pd.Series(range(len(rows))).groupby(length) if k}
-    sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+_PACKED_ARROW = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("first_sequence", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def _pack_group(rows: pa.Table, capacity: int) -> pa.Table:
+    rows = rows.sort_by([("doc_id", "ascending"), ("place", "ascending"), ("doc_tokens", "ascending")])
+    tokens = rows.column("doc_tokens").to_numpy()
+    by_length: dict[int, list[int]] = {}
+    for i, k in reversed(list(enumerate((tokens % capacity).tolist()))):
+        if k:
+            by_length.setdefault(k, []).append(i)
+    sequence, offset = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.int64)
     n = 0
     for used, times in pack_lengths({k: len(v) for k, v in by_length.items()}, capacity):
         for _ in range(times):
@@ -116,10 +121,12 @@ def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
                     sequence[i], offset[i] = n, at
                     at += size
             n += 1
-    full = (rows["doc_tokens"] // capacity).to_numpy()
-    first = n + np.cumsum(full) - full
-    base = rows["group"].to_numpy(np.int64) << 36
-    return pd.DataFrame({"doc_id": rows["doc_id"], "doc_tokens": rows["doc_tokens"], "crcs": rows["crcs"], "first_sequence": base + first, "sequence_id": base + sequence, "offset": offset})
+    full = tokens // capacity
+    base = rows.column("group").to_numpy().astype(np.int64) << 36
+    return pa.Table.from_arrays([
+        rows.column("doc_id"), rows.column("doc_tokens"), rows.column("crcs").cast(pa.list_(pa.int64())),
+        pa.array(base + n + np.cumsum(full) - full), pa.array(base + sequence), pa.array(offset),
+    ], schema=_PACKED_ARROW)
 
 
 def pack(documents: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 0, group_size: int = GROUP) -> DataFrame:
@@ -128,7 +135,7 @@ def pack(documents: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id
     plus a number within the group; offsets have no gaps."""
     groups = max(1, -(-documents.count() // group_size))
     cut = cut_documents(documents, tokenizer_file, capacity, end_id, groups)
-    packed = cut.groupBy("group").applyInPandas(lambda rows: _pack_group(rows, capacity), _PACKED)
+    packed = cut.groupBy("group").applyInArrow(lambda rows: _pack_group(rows, capacity), _PACKED)
     pieces = packed.select("doc_id", "doc_tokens", "first_sequence", "sequence_id", "offset", F.posexplode("crcs").alias("k", "ids_crc32"))
     start = F.col("k").cast("long") * capacity
     length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - start)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, token_output
+from tidemark.llm import decontamination, language_id, line_dedup, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, token_output
 from tidemark.llm.shared import new_path, table
 
 
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
