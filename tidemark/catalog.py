@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import robust, tails, thresholds
 from tidemark.operators import generators, mapping, metrics, neighbours, panels, results, rolling, segments
 from tidemark.sources.series import daily_channels, event_series, label_ranges, numbered
+from tidemark.streaming import calibrators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,13 +532,13 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.dial_rules(_dials(spark, sf_dir).withColumn("x", 10 * F.col("x")))
 
 
-@query("cusum", f"""WITH RECURSIVE {_S}, q AS (SELECT stream_id, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1), x AS (SELECT stream_id, t, (value - m) / sd AS x FROM s JOIN q USING (stream_id)),
-p AS (SELECT stream_id, t, sum(x - 0.5) {_frame(10_000_000)} AS p, sum(-x - 0.5) {_frame(10_000_000)} AS r FROM x) SELECT stream_id, t, round(p - least(0, min(p) {_frame(10_000_000)}), 4) AS up, round(r - least(0, min(r) {_frame(10_000_000)}), 4) AS down FROM p""")
+@query("cusum", f"""WITH {_S}, q AS (SELECT stream_id, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1), x AS (SELECT stream_id, t, (value - m) / sd AS x FROM s JOIN q USING (stream_id)),
+p AS (SELECT stream_id, t, sum(x - 0.5) {_frame(10_000_000)} AS p, sum(-x - 0.5) {_frame(10_000_000)} AS r FROM x) SELECT stream_id, t, {_r(f'p - least(0, min(p) {_frame(10_000_000)}) AS up', f'r - least(0, min(r) {_frame(10_000_000)}) AS down')} FROM p""")
 def _cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = event_series(spark, sf_dir)
     stats = series.groupBy("stream_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
     rows = series.join(F.broadcast(stats), "stream_id").select("stream_id", "t", ((F.col("value") - F.col("m")) / F.col("sd")).alias("x"))
-    return rounded(panels.cusum(rows), 4)
+    return panels.cusum(rows)
 
 
 # -- results
@@ -625,6 +626,31 @@ def _quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.quiet_steps(event_series(spark, sf_dir), 32)
 
 
+# -- streams
+
+
+@query("stream_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = calibrators.tumbling(calibrators.event_stream(spark, sf_dir))
+    path = calibrators.shared_path(spark, "tumbling")
+    return calibrators.finished(stream, f"{path}/out", f"{path}/checkpoint")
+
+
+@query("online_quantile")
+def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrators.offline(_by_value(spark, sf_dir), "quantile", q=0.01, window=500, step=10, gate=2.0)
+
+
+@query("online_stochastic")
+def _stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrators.offline(_by_value(spark, sf_dir), "stochastic", q=0.05, rate=0.1)
+
+
+@query("ewma", f"""WITH RECURSIVE {_S}, e AS (SELECT stream_id, t, value, value AS tau FROM s WHERE t = 0 UNION ALL SELECT s.stream_id, s.t, s.value, 0.98 * e.tau + 0.02 * s.value FROM e JOIN s ON s.stream_id = e.stream_id AND s.t = e.t + 1) SELECT stream_id, t, round(tau, 6) AS tau FROM e""")
+def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrators.offline(_by_value(spark, sf_dir), "ewma", alpha=0.02).select("stream_id", "t", "tau")
+
+
 # -- flagship
 
 _SPLIT: Callable[[str], Column] = lambda n: F.col("t") < F.floor(0.65 * F.col(n))

@@ -7,6 +7,7 @@ keeps that state per stream_id, and the batch form folds the same function.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -146,3 +147,8 @@ def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Counts and sums of values by event type and window."""
     rows = events.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir`` (a local one where unset)."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tidemark-streams'}/streams/{name}-{uuid.uuid4().hex}"
