@@ -368,7 +368,7 @@ def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(alarms(spark, sf_dir))
 
 
-@query("average_precision", f"WITH {_S}, g AS (SELECT stream_id, value, sum(label) AS p, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT *, sum(p) OVER (PARTITION BY stream_id ORDER BY value DESC) AS tp, sum(n) OVER (PARTITION BY stream_id ORDER BY value DESC) AS kk, sum(p) OVER (PARTITION BY stream_id) AS pp FROM g), ap AS (SELECT stream_id, sum(p / pp * tp / kk) AS ap FROM k GROUP BY 1), r AS (SELECT stream_id, label, rank() OVER (PARTITION BY stream_id ORDER BY value) + (count(*) OVER (PARTITION BY stream_id, value) - 1) / 2.0 AS r FROM l), u AS (SELECT stream_id, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM r GROUP BY 1) SELECT stream_id, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc FROM ap JOIN u USING (stream_id)")
+@query("average_precision", f"WITH {_S}, g AS (SELECT stream_id, value, sum(label) AS p, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT *, sum(p) OVER (PARTITION BY stream_id ORDER BY value DESC) AS tp, sum(n) OVER (PARTITION BY stream_id ORDER BY value DESC) AS kk, sum(p) OVER (PARTITION BY stream_id) AS pp FROM g), ap AS (SELECT stream_id, sum(p / pp * tp / kk) AS ap FROM k GROUP BY 1), r AS (SELECT stream_id, label, rank() OVER (PARTITION BY stream_id ORDER BY value) + (count(*) OVER (PARTITION BY stream_id, value) - 1) / 2.0 AS r FROM l), u AS (SELECT stream_id, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM r GROUP BY 1), c AS (SELECT stream_id, sum(label) AS k, count(*) AS n FROM l GROUP BY 1) SELECT stream_id, round(CASE WHEN k = 0 OR k = n THEN k / n ELSE ap END, 6) AS average_precision, round(CASE WHEN k = 0 OR k = n THEN 0.5 ELSE auc END, 6) AS roc_auc FROM ap JOIN u USING (stream_id) JOIN c USING (stream_id)")
 def _ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(scores(spark, sf_dir))
 

@@ -25,14 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh, written
 
 # similarity as a fraction
 ALIKE, OF = 4, 5
 _BUCKETS = 1 << 16
 _BLANK = "\n\t\x0b\x0c\r"
 _LEAST = -(1 << 63)
-PLACE = ("d", "h", "line")
+#: A place is d (the doc_id) and e: the line's number, then 24 bits of the text's
+#: hash, which tell apart rows of one doc_id.
+PLACE = ("d", "e")
+_TEXT_BITS = 24
+#: Bits of a prefix word that are compared before the sets themselves are.
+_WORD_BITS = 40
 
 
 def _split_words(text: Column) -> Column:
@@ -45,12 +50,16 @@ def _split_words(text: Column) -> Column:
 def placed(documents: DataFrame) -> DataFrame:
     """d, h and text: what names a document's place."""
     return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"),
-        F.xxhash64(F.col("text").cast("string")).alias("h"),
-        F.col("text").cast("string").alias("text"),
+        *_document(), F.col("text").cast("string").alias("text"),
     ).where("text is not null")
 
 
+def _document() -> tuple[Column, Column]:
+    """d and h of a document."""
+    h = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), h.alias("h")
+
+
 def rarity_ranks(texts: DataFrame) -> list[int]:
     """For each of the 65,536 hash buckets, its rank from rare to frequent."""
     counts = texts.select(F.explode(_split_words(F.col("text"))).alias("w")).where("w <> ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
@@ -80,10 +89,12 @@ def _by_rarity(hashes: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
-def _parity(keys: Column) -> Column:
-    """64 parity bits of a set: two sets differ in as many words at least as
-    their parities differ in bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, half: int) -> Column:
+    """64 of 128 parity bits of a set: two sets differ in as many words at
+    least as their parities differ in bits."""
+    side = lambda h: F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(1))
+    bit = lambda h: F.call_function("shiftleft", side(h) if half else 1 - side(h), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
 def _prefix(n: Column) -> Column:
@@ -96,11 +107,13 @@ def line_classes(texts: DataFrame) -> DataFrame:
     parity. The empty set is one of them, with size 0."""
     ranks = _ranked(rarity_ranks(texts))
     lines = texts.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    keyed = lines.select("d", "h", "line", _by_rarity(word_hashes(F.col("t")), ranks).alias("keys"))
+    e = F.shiftleft(F.col("line").cast("long"), _TEXT_BITS).bitwiseOR(F.col("h"))
+    keyed = lines.select("d", e.alias("e"), _by_rarity(word_hashes(F.col("t")), ranks).alias("keys"))
     n = F.size("keys")
+    words = F.transform(F.slice("keys", F.lit(1), _prefix(n)), lambda k: k.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)))
     cut = keyed.select(
         F.xxhash64("keys").alias("k1"), F.hash("keys").alias("k2"),
-        F.struct("d", "h", "line", n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), _prefix(n)).alias("prefix")).alias("place"),
+        F.struct("d", "e", n.alias("n"), _parity(F.col("keys"), 0).alias("parity"), _parity(F.col("keys"), 1).alias("parity2"), words.alias("prefix")).alias("place"),
     )
     return cut.groupBy("k1", "k2").agg(F.min("place").alias("place")).select("place.*")
 
@@ -108,14 +121,15 @@ def line_classes(texts: DataFrame) -> DataFrame:
 def _entries(classes: DataFrame) -> DataFrame:
     """A row for each class and prefix word. Sets of up to 3 words are alike
     only if equal, so they need none."""
-    return classes.where("n > 3").select("d", "h", "line", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    rows = classes.where("n > 3").select(*(c for c in classes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word"))
+    return rows.withColumn("size", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
 
 
 def _may_be_alike(a: str, b: str) -> Column:
     """Length, positional and parity filters: enough words can still be shared."""
-    na, pa, nb, pb = (F.col(c) for c in (a.format("n"), a.format("pos"), b.format("n"), b.format("pos")))
+    (na, pa), (nb, pb) = ((F.shiftright(F.col(x.format("size")), 32), F.col(x.format("size")).bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b))
     rest = F.least(na - pa, nb - pb)
-    apart = F.bit_count(F.col(a.format("parity")).bitwiseXOR(F.col(b.format("parity"))))
+    apart = sum(F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in ("parity", "parity2"))
     return (OF * F.least(na, nb) >= ALIKE * F.greatest(na, nb)) & ((OF + ALIKE) * rest >= ALIKE * (na + nb)) & ((OF + ALIKE) * apart <= (OF - ALIKE) * (na + nb))
 
 
@@ -125,44 +139,48 @@ def _named(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
 
 def earliest_pairs(entries: DataFrame) -> DataFrame:
     """(place, earlier place): the earliest class under each prefix word."""
-    first = F.min(F.struct(*PLACE, "n", "pos", "parity")).over(Window.partitionBy("word"))
-    rows = entries.withColumn("e", first)
-    apart = F.struct(*(F.col(f"e.{c}") for c in PLACE)) < F.struct(*PLACE)
-    rows = rows.where(apart & _may_be_alike("{}", "e.{}"))
-    return rows.select(*PLACE, "n", *(F.col(f"e.{c}").alias(f"{c}_e") for c in (*PLACE, "n"))).distinct()
+    rows = entries.withColumn("x", F.min(F.struct(*PLACE, "size", "parity", "parity2")).over(Window.partitionBy("word")))
+    earlier = F.struct(*(F.col(f"x.{c}") for c in PLACE)) < F.struct(*PLACE)
+    rows = rows.where(earlier & _may_be_alike("{}", "x.{}"))
+    return rows.select(*PLACE, *(F.col(f"x.{c}").alias(f"{c}_e") for c in PLACE)).distinct()
 
 
-def all_pairs(entries: DataFrame, left: DataFrame) -> DataFrame:
-    """(place, earlier place) of the classes in ``left`` with all earlier ones."""
-    late = entries.join(left, list(PLACE), "left_semi")
-    early = _named(entries, "_e", *PLACE, "n", "parity", "pos", "word")
-    rows = late.join(early, F.col("word") == F.col("word_e"))
-    earlier = F.struct(*(F.col(f"{c}_e") for c in PLACE)) < F.struct(*PLACE)
-    rows = rows.where(earlier & _may_be_alike("{}", "{}_e"))
-    return rows.select(*PLACE, "n", *(f"{c}_e" for c in (*PLACE, "n"))).distinct()
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """(place, earlier place) of the classes still ``open`` (1, else 0) with all
+    earlier ones. Both sides are the same rows, so that they are dealt once:
+    the test on ``open`` names both sides to stay in the join."""
+    columns = (*PLACE, "size", "parity", "parity2", "word", "open")
+    late, early = _named(entries, "_l", *columns), _named(entries, "_e", *columns)
+    earlier = F.struct(*(F.col(f"{c}_e") for c in PLACE)) < F.struct(*(F.col(f"{c}_l") for c in PLACE))
+    wanted = F.greatest(F.col("open_l"), F.col("open_e") - 1) > 0
+    rows = late.join(early, (F.col("word_l") == F.col("word_e")) & wanted & earlier & _may_be_alike("{}_l", "{}_e"))
+    return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose word sets are alike, by counting shared words."""
+    """The places of ``pairs`` whose word sets are alike, by counting shared words."""
     places = pairs.select(*PLACE).union(pairs.select(*(f"{c}_e" for c in PLACE))).distinct()
-    wanted = places.groupBy("d", "h").agg(F.collect_list("line").alias("wanted"))
-    lines = texts.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", "h", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line"))
-    sets = written(lines.select("d", "h", "line", word_hashes(F.get("lines", F.col("line"))).alias("keys")), "line-sets")
+    h = F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
+    wanted = places.groupBy("d", h.alias("h")).agg(F.collect_list("e").alias("wanted"))
+    lines = texts.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("e"))
+    sets = written(lines.select("d", "e", word_hashes(F.get("lines", F.shiftright("e", _TEXT_BITS).cast("int"))).alias("keys")), "line-sets")
     rows = pairs.join(sets, list(PLACE)).join(_named(sets, "_e", *PLACE, "keys"), [f"{c}_e" for c in PLACE])
     shared = F.size(F.array_intersect("keys", "keys_e"))
-    return rows.where((OF + ALIKE) * shared >= ALIKE * (F.col("n") + F.col("n_e"))).select(*PLACE, *(f"{c}_e" for c in PLACE))
+    return rows.where((OF + ALIKE) * shared >= ALIKE * (F.size("keys") + F.size("keys_e"))).select(*PLACE).distinct()
 
 
 def kept_places(texts: DataFrame) -> DataFrame:
     """d, h and ``kept``: the sorted numbers of the lines that stay, of each
     place that has any; lines without words are not listed."""
     classes = written(line_classes(texts), "line-classes").where("n > 0")
-    entries = _entries(classes)
-    first = written(verified(earliest_pairs(entries), texts).select(*PLACE).distinct(), "matched")
-    left = entries.select(*PLACE).distinct().join(first, list(PLACE), "left_anti")
-    rest = verified(written(all_pairs(entries, left), "pairs"), texts).select(*PLACE).distinct()
+    pairs = written(earliest_pairs(_entries(classes)), "pairs")
+    first = written(verified(pairs, texts), "matched")
+    unmatched = classes.join(first.withColumn("open", F.lit(0).cast("byte")), list(PLACE), "left").withColumn("open", F.coalesce("open", F.lit(1).cast("byte")))
+    pairs = written(all_pairs(_entries(unmatched)), "pairs")
+    rest = written(verified(pairs, texts), "matched")
     stay = classes.select(*PLACE).join(first.union(rest), list(PLACE), "left_anti")
-    return stay.groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    line = F.shiftright("e", _TEXT_BITS).cast("int")
+    return stay.groupBy("d", F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("h")).agg(F.sort_array(F.collect_list(line)).alias("kept"))
 
 
 def _blank(line: Column) -> Column:
@@ -175,8 +193,7 @@ def report(documents: DataFrame) -> DataFrame:
     kept = kept_places(placed(documents))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"),
-        F.xxhash64(F.col("text").cast("string")).alias("h"),
+        *_document(),
         F.split(F.col("text").cast("string"), "\n").alias("lines"),
     )
     filled = F.filter(F.transform("lines", lambda t, i: F.when(~_blank(t), i)), lambda i: i.isNotNull())
@@ -191,8 +208,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     kept = kept_places(placed(documents))
     gap = lambda v, i: v - F.when(i == 0, F.lit(-1)).otherwise(F.get("kept", i - 1)) - 1
     flags = F.flatten(F.transform("kept", lambda v, i: F.concat(F.array_repeat(F.lit(False), gap(v, i)), F.array(F.lit(True)))))
-    kept = kept.select(F.col("d").alias("_d"), F.col("h").alias("_h"), flags.alias("_flags"))
-    rows = documents.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "_h": F.xxhash64(F.col("text").cast("string"))})
-    stays = lambda t, i: _blank(t) | F.coalesce(F.get("_flags", i), F.lit(False))
+    d, h, marks = fresh(documents, "_d", "_h", "_flags")
+    kept = kept.select(F.col("d").alias(d), F.col("h").alias(h), flags.alias(marks))
+    rows = documents.withColumns(dict(zip((d, h), _document(), strict=True)))
+    stays = lambda t, i: _blank(t) | F.coalesce(F.get(marks, i), F.lit(False))
     text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    return rows.join(kept, ["_d", "_h"], "left").select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns))
+    return rows.join(kept, [d, h], "left").select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns))

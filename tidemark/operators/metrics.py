@@ -31,7 +31,7 @@ def average_precision(rows: DataFrame) -> DataFrame:
     down = Window.partitionBy("stream_id").orderBy(F.col("score").desc())
     every = Window.partitionBy("stream_id")
     s = s.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
-    step = F.col("p") / F.col("all_p") * F.col("tp") / F.col("k")
+    step = F.coalesce(F.try_divide("p", "all_p"), F.lit(0.0)) * F.col("tp") / F.col("k")
     fp_before = (F.col("k") - F.col("n")) - (F.col("tp") - F.col("p"))
     neg = F.col("all_n") - F.col("all_p")
     pairs = F.col("p") * (neg - fp_before - (F.col("n") - F.col("p"))) + 0.5 * F.col("p") * (F.col("n") - F.col("p"))
