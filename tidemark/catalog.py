@@ -39,8 +39,9 @@ def _islands(source: str, flag: str, name: str) -> str:
 
 
 #: Added before rounding: values have two decimals, so means over 2, 4, 8 ...
-#: rows end in exact halves, which two engines may round apart.
-OFF_HALVES = 3.7e-8
+#: rows end in exact halves, which two engines may round apart. It has more than
+#: nine decimals, so that distances already rounded to nine do not land on halves.
+OFF_HALVES = 3.7037e-8
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
