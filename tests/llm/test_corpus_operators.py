@@ -232,7 +232,7 @@ def test_decontamination(spark, sf_dir, documents, texts, odd, empty, monkeypatc
     items = {str(i): " ".join(random.choice("abc") for _ in range(random.choice([2, 3, 5, 8, 13, 14, 20]))) for i in range(12)} | {"x": ".."}
     docs, few = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")
     for size in (1 << 20, 60):  # one block, and several
-        monkeypatch.setattr(decontamination.hits, "__defaults__", (13, size))
+        monkeypatch.setattr(decontamination.hits, "__defaults__", (13, size, None))
         got = {r.doc_id: tuple(r[f] for f in fields) for r in decontamination.report(docs, few).collect()}
         assert got == contamination(texts, items)
     out = decontamination.decontaminate(odd, bench)

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import bpe
 from tidemark.llm import textscan as ts
@@ -139,12 +140,17 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
         yield [(r.item_id, r.text) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+Batches = Iterable[pa.RecordBatch]
+#: What to make of the marked batches, and its schema.
+Finish = tuple[Callable[[Batches], Iterator[pa.RecordBatch]], T.StructType | str]
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish: Finish | None = None) -> DataFrame:
     """All columns of ``documents`` and three more at the end: the number of
     words, a bit for each word hit, and the ids of the items found, sorted
-    (``_words``, ``_hit`` and ``_items``, or longer where these are taken)."""
-    from pyspark.sql import types as T
-
+    (``_words``, ``_hit`` and ``_items``, or longer where these are taken).
+    ``finish`` runs over the marked batches of the last pass, in the same
+    Python worker, so that a task never needs two."""
     kinds = (T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()))
     marks = [T.StructField(name, kind) for name, kind in zip(fresh(documents, "_words", "_hit", "_items"), kinds, strict=True)]
     rows, first = documents, True
@@ -153,14 +159,21 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     while block is not None:
         following = next(blocks, None)
         shared = documents.sparkSession.sparkContext.broadcast(Block(block, window))
-        schema = T.StructType([*documents.schema.fields, *marks])
-        rows = rows.mapInArrow(_marker(shared, first, [m.name for m in marks]), schema)
+        mark, schema = _marker(shared, first, [m.name for m in marks]), T.StructType([*documents.schema.fields, *marks])
         if following is not None:
-            rows = written(rows, "hits")
+            rows = written(rows.mapInArrow(mark, schema), "hits")
+        elif finish is None:
+            rows = rows.mapInArrow(mark, schema)
+        else:
+            rows = rows.mapInArrow(_then(mark, finish[0]), finish[1])
         block, first = following, False
     return rows
 
 
+def _then(mark, finish):
+    return lambda batches: finish(mark(batches))
+
+
 def _with_marks(schema: pa.Schema, n: int, names: list[str]) -> pa.Schema:
     kinds = (pa.int64(), pa.binary(), pa.list_(pa.string()))
     return pa.schema([*(schema.field(i) for i in range(n)), *(pa.field(k, t) for k, t in zip(names, kinds, strict=True))])
@@ -192,7 +205,6 @@ def _marker(shared, first: bool, names_of: list[str]):
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = hits(plain, benchmark, window)
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,15 +213,13 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = rows.select("doc_id", "_words", "_hit", "_items").mapInArrow(summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = hits(plain, benchmark, window, finish=(summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
     """Documents without the contaminated ones (a twentieth or more of their
     words hit); with ``cut``, hit spans also leave the texts of the others."""
-    kept_schema = documents.schema
-    rows = hits(documents, benchmark, window)
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +233,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 columns[i] = pa.array([_without(t, b) for t, b in zip(clean.column("text").to_pylist(), clean.column(clean.num_columns - 2).to_pylist(), strict=True)], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=clean.schema.names[:-3])
 
-    return rows.mapInArrow(kept, kept_schema)
+    return hits(documents, benchmark, window, finish=(kept, documents.schema))
 
 
 def _without(text: str | None, bits: bytes) -> str | None:
