@@ -382,7 +382,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.event_metrics(alarms(spark, sf_dir)).where("n_true > 0")
 
 
-@query("range_metrics", f"{_TWO}, r AS (SELECT stream_id, avg(0.5 * hit + 0.5 * share) AS recall FROM (SELECT y.stream_id, segment, max(alarm) AS hit, avg(alarm) AS share FROM y JOIN a ON a.stream_id = y.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1), p AS (SELECT stream_id, avg(share) AS precision FROM (SELECT g.stream_id, segment, avg(label) AS share FROM g JOIN a ON a.stream_id = g.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1) SELECT stream_id, {_r('precision', 'recall', 'coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1')} FROM r JOIN p USING (stream_id)")
+@query("range_metrics", f"{_TWO}, r AS (SELECT stream_id, avg(0.5 * hit + 0.5 * share) AS recall FROM (SELECT y.stream_id, segment, max(alarm) AS hit, avg(alarm) AS share FROM y JOIN a ON a.stream_id = y.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1), p AS (SELECT stream_id, avg(share) AS precision FROM (SELECT g.stream_id, segment, avg(label) AS share FROM g JOIN a ON a.stream_id = g.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1), b AS (SELECT st.stream_id, CASE WHEN p.precision IS NULL OR r.recall IS NULL THEN 0 ELSE p.precision END AS precision, CASE WHEN p.precision IS NULL OR r.recall IS NULL THEN 0 ELSE r.recall END AS recall FROM (SELECT DISTINCT stream_id FROM a) st LEFT JOIN r USING (stream_id) LEFT JOIN p USING (stream_id)) SELECT stream_id, {_r('precision', 'recall', 'coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1')} FROM b")
 def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.range_metrics(alarms(spark, sf_dir))
 
