@@ -384,6 +384,24 @@ def test_fenwick_chains_match_quadratic():
         assert sorted(k for c in got for k in c) == list(range(len(frags)))
 
 
+def test_chains_take_the_best_predecessor_in_reach():
+    reach, cost = substring_dedup.MAX_GAP, substring_dedup.GAP_COST
+    fuzzy = [(400 + 7 * k, 400 + 7 * k, 5) for k in range(9)]
+    assert substring_dedup.chains(np.array([(0, 0, 300), *fuzzy])) == [[0], list(range(1, 10))]
+    random.seed(8)
+    for _ in range(60):
+        made = {random.randint(0, 600): (random.randint(0, 600), random.choice([5, 6, 9, 120])) for _ in range(random.randint(2, 60))}
+        frags = [(a, *made[a]) for a in sorted(made)]
+        best = [0.0] * len(frags)
+        for k, (a, b, w) in enumerate(frags):
+            gaps = [(best[m], a - (c + v - substring_dedup.K + 1), b - (d + v - substring_dedup.K + 1)) for m, (c, d, v) in enumerate(frags[:k])]
+            best[k] = w + max([0.0, *(s - cost * (x + y) for s, x, y in gaps if 0 <= x <= reach and 0 <= y <= reach)])
+        got = substring_dedup.chains(np.array(frags))
+        assert sorted(k for c in got for k in c) == list(range(len(frags)))
+        score = sum(frags[k][2] for k in got[0]) - sum(cost * (frags[q][s] - frags[p][s] - frags[p][2] + substring_dedup.K - 1) for p, q in zip(got[0], got[0][1:], strict=False) for s in (0, 1))
+        assert abs(score - max(best)) < 1e-6
+
+
 # -- language
 
 
