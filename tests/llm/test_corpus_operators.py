@@ -402,6 +402,38 @@ def test_chains_take_the_best_predecessor_in_reach():
         assert abs(score - max(best)) < 1e-6
 
 
+def test_align_keeps_the_passing_part():
+    def case(parts: list[int | tuple[int]]) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+        x, y, chain = [], [], []
+        for p in parts:  # a tuple is as many words that differ
+            n, same = (p, True) if isinstance(p, int) else (p[0], False)
+            if same:
+                chain.append((len(x), len(y), n))
+            x += range(len(x), len(x) + n)
+            y += [w if same else -w - 1 for w in x[len(y) :]]
+        return x, y, chain
+
+    for parts in ([55, (7,), 5, (7,), 5, (7,), 5], [5, (7,), 5, (7,), 5, (7,), 55], [5, (7,), 5, (7,), 5, (7,), 55, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 5]):
+        x, y, chain = case(parts)
+        (a, n), = [(c[0], c[2]) for c in chain if c[2] == 55]
+        found = list(substring_dedup.align(x, y, chain))
+        assert any(i0 <= a and i1 >= a + n for i0, i1, *_ in found) and all(5 * edits <= i1 - i0 >= 50 for i0, i1, _, _, edits in found)
+    x, y, chain = case([60, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 5, (7,), 60])
+    cover = {k for i0, i1, *_ in substring_dedup.align(x, y, chain) for k in range(i0, i1)}
+    assert set(range(60)) | set(range(len(x) - 60, len(x))) <= cover
+    random.seed(10)
+    for _ in range(200):  # the longest of all stretches that pass
+        n, pieces, at = random.randint(1, 12), [], 0
+        for _ in range(n):
+            w = random.randint(1, 30)
+            pieces.append((at, at + w, at, at + w))
+            at += w + 7
+        costs = [random.randint(0, 7) for _ in range(n - 1)]
+        fit = {pieces[r][1] - pieces[k][0] for k in range(n) for r in range(k, n) if 5 * sum(costs[k:r]) <= pieces[r][1] - pieces[k][0]}
+        k, r = substring_dedup.passing(pieces, costs)
+        assert 5 * sum(costs[k:r]) <= pieces[r][1] - pieces[k][0] == max(fit)
+
+
 # -- language
 
 
