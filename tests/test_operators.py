@@ -117,3 +117,26 @@ def test_rolling_on_empty(spark):
     empty = spark.createDataFrame([], "stream_id string, t long, value double")
     assert rolling.rolling_basic(empty).count() == 0
     assert segments.segments(spark.createDataFrame([], "stream_id string, t long, alarm int"), "alarm").count() == 0
+
+
+def test_nearest_searches_the_whole_bank(spark, tmp_path, monkeypatch):
+    """More rows than the bank's cap: all of them are ranked, as in the SQL."""
+    from tidemark import catalog
+    from tidemark.operators import neighbours
+
+    n = 300
+    points = np.random.default_rng(3).integers(0, 40, (n, 3)).astype(float)
+    rows = spark.createDataFrame([(k, k % 7, p) for k, p in enumerate(points.tolist())], "vec_id long, label int, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(neighbours, "CAP", 50)
+    monkeypatch.setattr(neighbours.bank, "__defaults__", (50,))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40, raising=False)
+    got = sorted((r.vec_id, r["rank"], r.neighbour) for r in catalog.QUERIES["knn_leave_one_out"](spark, str(tmp_path)).collect())
+    want = []
+    for k in range(n):
+        d = np.round(np.sqrt(((points - points[k]) ** 2).sum(1)), 9)
+        want += [(k, r, m) for r, m in enumerate(sorted((m for m in range(n) if m != k), key=lambda m: (d[m], m))[:8], 1)]
+    assert got == want
+    assert catalog.QUERIES["successor_scores"](spark, str(tmp_path)).count() == n
+    few = rows.where("vec_id < 5")  # contexts outside the bank keep all k
+    assert neighbours.nearest(rows.where("vec_id >= 290"), few, 5, leave_out_self=True).count() == 50

@@ -492,7 +492,7 @@ _KNN = f"WITH {_E}, d AS (SELECT a.vec_id, b.vec_id AS neighbour, b.label AS nea
 
 def _self_knn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return neighbours.nearest(rows, neighbours.bank(rows.select("vec_id", "embedding"), "vec_id"), 8, leave_out_self=True), rows
+    return neighbours.nearest(rows, rows, 8, leave_out_self=True), rows
 
 
 @query("knn_leave_one_out", f"{_KNN} SELECT vec_id, rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 8")

@@ -1,7 +1,8 @@
-"""Nearest neighbours against a memory bank of bounded size.
+"""Nearest neighbours against a memory bank of any size.
 
-The bank is a fixed number of rows at most (its cap is part of the operator),
-so it is broadcast; contexts stream past it in Arrow batches.
+Contexts and bank are both dealt into blocks of bounded size, every pair of
+blocks is compared, and the k best of a context in each block are merged. A
+caller who wants a bank of bounded size takes it from ``bank``.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 5000
-_BLOCK = 64
+#: Rows of a block, on average.
+BLOCK_ROWS = 2000
+#: Cells of the differences computed at once.
+_CELLS = 1 << 22
 
 
 def bank(rows: DataFrame, key: str, cap: int = CAP) -> DataFrame:
@@ -22,32 +26,45 @@ def bank(rows: DataFrame, key: str, cap: int = CAP) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(cap)
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, ids: str, points: str) -> DataFrame:
+    """The rows packed into blocks, dealt by hash of the key."""
+    schema = f"{ids} binary, {points} binary"
+
+    def pack(block: pa.Table) -> pa.Table:
+        x = np.array(block.column(1).to_pylist(), "<f8")
+        return pa.table({ids: [block.column(0).to_numpy().astype("<i8").tobytes()], points: [x.tobytes()]}, schema=pa.schema([(ids, pa.binary()), (points, pa.binary())]))
+
+    whole = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).where("key is not null and vector is not null")
+    n = max(1, -(-whole.count() // BLOCK_ROWS))
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("block")
+    return dealt.applyInArrow(lambda block: pack(block.select(["key", "vector"])), schema)
+
+
 def nearest(contexts: DataFrame, memory: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", leave_out_self: bool = False) -> DataFrame:
     """(key, rank, neighbour, distance): the k nearest by Euclidean distance;
     ties go to the smaller key."""
-    held = memory.select(key, vector).orderBy(key).limit(CAP).collect()
-    ids = np.array([r[0] for r in held], np.int64)
-    points = np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
-    shared = contexts.sparkSession.sparkContext.broadcast((ids, points))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, points = shared.value
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            for a in range(0, len(own), _BLOCK):
-                d = np.round(np.sqrt(((x[a : a + _BLOCK, None, :] - points[None]) ** 2).sum(2)), 9)
-                if leave_out_self:
-                    d[own[a : a + _BLOCK, None] == ids[None]] = np.inf
-                n = min(k, len(ids) - leave_out_self)
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
-                rows = len(d)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(own[a : a + rows], n)), pa.array(np.tile(np.arange(1, n + 1), rows), pa.int64()),
-                    pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(d, best, 1).reshape(-1)),
-                ], names=[key, "rank", "neighbour", "distance"])
-
-    return contexts.select(key, vector).mapInArrow(search, f"{key} long, rank long, neighbour long, distance double")
+            for row in range(batch.num_rows):
+                own, x, ids, points = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8")))
+                x, points = x.reshape(len(own), -1), points.reshape(len(ids), -1)
+                step = max(1, _CELLS // max(1, points.size))
+                for a in range(0, len(own), step):
+                    d = np.round(np.sqrt(((x[a : a + step, None, :] - points[None]) ** 2).sum(2)), 9)
+                    if leave_out_self:
+                        d[own[a : a + step, None] == ids[None]] = np.inf
+                    best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : k + leave_out_self]
+                    found = np.take_along_axis(d, best, 1)
+                    real = (own[a : a + step, None] != ids[best]) | (not leave_out_self)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.broadcast_to(own[a : a + step, None], best.shape)[real]), pa.array(ids[best][real]), pa.array(found[real]),
+                    ], names=["key", "neighbour", "distance"])
+
+    pairs = _blocks(contexts, key, vector, "own", "x").crossJoin(_blocks(memory, key, vector, "ids", "points"))
+    found = pairs.mapInArrow(search, "key long, neighbour long, distance double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("key").alias(key), F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
 
 
 def successor_scores(found: DataFrame, values: DataFrame, key: str = "vec_id") -> DataFrame:
