@@ -450,6 +450,21 @@ def test_language(spark, sf_dir, odd, empty):
     assert language_id.learn(empty) == [] and language_id.identify(odd, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_with_many_letters(spark, monkeypatch):
+    random.seed(11)
+    sets = {"a": range(0x4E00, 0x5400), "b": range(0x5400, 0x5A00), "c": range(0xAC00, 0xB200), "x": range(0x61, 0x7B), "y": range(0x3B1, 0x3CA)}
+    text = {k: " ".join("".join(chr(random.choice(v)) for _ in range(4)) for _ in range(1200)) for k, v in sets.items()}
+    samples = [(k, text[k]) for k in sorted(text)]
+    for cells in (1 << 40, 1_000_000, 0):  # dense, mixed and sparse tables agree
+        monkeypatch.setattr(language_id, "DENSE_CELLS", cells)
+        got = language_id.Model(tuple(samples)).predict(__import__("pyarrow").array([text[k][1000:1400] for k in sorted(text)]))
+        assert got[0] == sorted(text)
+        scores = got[1] if cells == 1 << 40 else scores
+        assert np.array_equal(scores, got[1])
+    rows = spark.createDataFrame([(i, "ab " * 4000, f"l{i % 20}") for i in range(400)], "doc_id long, text string, lang string")
+    assert all(len(v) == language_id.SAMPLE_CHARS for _, v in language_id.learn(rows))
+
+
 # -- pipeline
 
 

@@ -35,8 +35,8 @@ from tidemark.llm.automaton import SuffixAutomaton
 DOCUMENTS = 48
 DOCUMENT_CHARS = 4000
 SAMPLE_CHARS = 30_000
-#: Languages beyond this share the sample's memory.
-LANGUAGES = 8
+#: Cells of the dense transition tables; languages beyond it look transitions up.
+DENSE_CELLS = 20_000_000
 STRETCH = 512
 
 
@@ -51,7 +51,6 @@ def learn(documents: DataFrame, sample_chars: int = SAMPLE_CHARS) -> list[tuple[
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
-    sample_chars = min(sample_chars, sample_chars * LANGUAGES // len(sizes))
     # some four times as many as needed pass the hash, however many there are
     chance = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * DOCUMENTS / n)))))
     draw = F.xxhash64("doc_id", F.col("text"))
@@ -64,30 +63,75 @@ def learn(documents: DataFrame, sample_chars: int = SAMPLE_CHARS) -> list[tuple[
     return [(k, " ".join(v)[:sample_chars]) for k, v in sorted(out.items())]
 
 
+class Dense:
+    """Transitions as a table of states and columns; 0 is none."""
+
+    def __init__(self, steps: dict[tuple[int, int], int], states: int, width: int):
+        self.width, self.table = width, np.zeros(states * width, np.int32)
+        for (s, c), to in steps.items():
+            self.table[s * width + c] = to * width
+
+    def go(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.table[state + column]
+
+    def start(self, column: np.ndarray) -> np.ndarray:
+        return self.table[column]
+
+
+class Sparse:
+    """The same transitions as sorted keys: memory grows with the sample alone."""
+
+    def __init__(self, steps: dict[tuple[int, int], int], states: int, width: int):
+        self.width = width
+        keys = np.fromiter((s * width + c for s, c in steps), np.int64, len(steps))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order] * width
+        self.root = np.zeros(width, np.int64)
+        for (s, c), to in steps.items():
+            if s == 0:
+                self.root[c] = to * width
+
+    def go(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(column), np.int64)
+        at = np.flatnonzero(column)
+        want = state[at] + column[at]
+        k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        out[at] = np.where(self.keys[k] == want, self.to[k], 0)
+        return out
+
+    def start(self, column: np.ndarray) -> np.ndarray:
+        return self.root[column]
+
+
 class Model:
-    """Dense transition tables of the languages' automata."""
+    """The languages' automata over all letters of the samples."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [k for k, _ in samples]
         letters = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
         # 0: not a letter; 1: a letter that no sample has; then the samples' letters
-        self.symbol = letters.astype(np.uint8)
-        alphabet = sorted({c for _, s in samples for c in s.lower() if c.isalpha()})[:253]
+        self.symbol = letters.astype(np.int32)
+        alphabet = sorted({c for _, s in samples for c in s.lower() if c.isalpha()})
         for i, c in enumerate(alphabet):
             self.symbol[ord(c)] = i + 2
         for i, c in enumerate(alphabet):
             if len(up := c.upper()) == 1 and self.symbol[ord(up)] == 1:
                 self.symbol[ord(up)] = i + 2
-        self.width = len(alphabet) + 2
-        self.tables, self.weights = [], []
+        self.tables, self.columns, self.weights, cells = [], [], [], 0
         for _, sample in samples:
-            sequence = self._symbols(np.frombuffer(sample.encode("utf-32-le", "surrogatepass"), np.uint32)).tolist()
+            sequence = self._symbols(np.frombuffer(sample.encode("utf-32-le", "surrogatepass"), np.uint32))
+            # a language's own columns; 0: a letter that its sample has not
+            own = np.unique(sequence[sequence != 1])
+            column = np.zeros(len(alphabet) + 2, np.int32)
+            column[own] = np.arange(1, len(own) + 1)
             automaton = SuffixAutomaton()
-            automaton.add(sequence)
-            flat = np.zeros(len(automaton.length) * self.width, np.int32)
-            for (s, c), to in automaton.step.items():
-                flat[s * self.width + c] = to * self.width
-            self.tables.append(flat)
+            automaton.add(column[sequence].tolist())
+            states, width = len(automaton.length), len(own) + 1
+            dense = cells + states * width <= DENSE_CELLS
+            cells += states * width * dense
+            steps = {k: to for k, to in automaton.step.items() if k[1]}
+            self.tables.append((Dense if dense else Sparse)(steps, states, width))
+            self.columns.append(column)
             self.weights.append(float(np.log2(len(sequence) + 2)))
 
     def _symbols(self, cp: np.ndarray) -> np.ndarray:
@@ -111,16 +155,16 @@ class Model:
         out = np.zeros((len(length), len(self.tables)))
         columns = []
         for t in range(int(size.max(initial=0))):
-            columns.append(symbols[start[: alive[t]] + t].astype(np.int32))
+            columns.append(symbols[start[: alive[t]] + t])
         for k, table in enumerate(self.tables):
-            root = table[: self.width]
-            state, count = np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
-            for c in columns:
-                n = len(c)
-                to = table[state[:n] + c]
+            state, count = table.start(np.zeros(len(start), np.int32)), np.ones(len(start), np.int32)
+            for symbol in columns:
+                n = len(symbol)
+                c = self.columns[k][symbol]
+                to = table.go(state[:n], c)
                 broke = to == 0
                 count[:n] += broke
-                state[:n] = np.where(broke, root[c], to)
+                state[:n] = np.where(broke, table.start(c), to)
             out[:, k] = np.bincount(document, count, len(length)) * self.weights[k]
         return out
 
