@@ -30,7 +30,7 @@ from tidemark.llm.shared import fresh, written
 # similarity as a fraction
 ALIKE, OF = 4, 5
 _BUCKETS = 1 << 16
-_BLANK = "\n\t\x0b\x0c\r"
+_BLANK = "\t\n\x0b\x0c\r"
 _LEAST = -(1 << 63)
 #: A place is d (the doc_id) and e: the line's number, then 24 bits of the text's
 #: hash, which tell apart rows of one doc_id.
@@ -41,10 +41,12 @@ _WORD_BITS = 40
 
 
 def _split_words(text: Column) -> Column:
-    """What stands between white space in ASCII; some entries are empty."""
-    for c in _BLANK:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, " ")
+    """What stands between white space in ASCII; some entries are empty. Few
+    lines have other white space than blanks, and blanks need no pattern."""
+    odd = F.contains(text, F.lit(_BLANK[0]))
+    for c in _BLANK[1:]:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.split(text, f"[ {_BLANK}]")).otherwise(F.split(text, " "))
 
 
 def placed(documents: DataFrame) -> DataFrame:
@@ -62,7 +64,9 @@ def _document() -> tuple[Column, Column]:
 
 def rarity_ranks(texts: DataFrame) -> list[int]:
     """For each of the 65,536 hash buckets, its rank from rare to frequent."""
-    counts = texts.select(F.explode(_split_words(F.col("text"))).alias("w")).where("w <> ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("t"))
+    words = lines.select(F.explode(_split_words(F.col("t"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
     size = dict.fromkeys(range(_BUCKETS), 0) | {r["bucket"]: r["count"] for r in counts}
     ranks = [0] * _BUCKETS
     for rank, bucket in enumerate(sorted(size, key=lambda b: (size[b], b))):
@@ -70,9 +74,11 @@ def rarity_ranks(texts: DataFrame) -> list[int]:
     return ranks
 
 
-def _ranked(ranks: list[int]) -> Column:
-    """The ranks as one constant array (folded when the plan is made)."""
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+def _masks(ranks: list[int]) -> Column:
+    """What turns a hash's bucket into its rank (as a signed number) by an
+    exclusive or, as one constant array (folded when the plan is made)."""
+    top = ((bucket ^ rank ^ (_BUCKETS // 2)) << 48 for bucket, rank in enumerate(ranks))
+    return F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in top)), ",").cast("array<long>")
 
 
 def word_hashes(line: Column) -> Column:
@@ -80,20 +86,22 @@ def word_hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _by_rarity(hashes: Column, ranks: Column) -> Column:
-    """Hashes with their bucket's rank for the bucket, in ascending order."""
+def _by_rarity(hashes: Column, masks: Column) -> Column:
+    """Hashes with their bucket's rank for the bucket, in ascending order. (No
+    entry is ever null; saying so lets Spark sort plain numbers.)"""
     def key(h: Column) -> Column:
-        rank = F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")) - _BUCKETS // 2
-        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+        return h.bitwiseXOR(F.coalesce(F.get(masks, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long")))
 
     return F.sort_array(F.transform(hashes, key))
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 of 128 parity bits of a set: two sets differ in as many words at
-    least as their parities differ in bits."""
-    side = lambda h: F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(1))
-    bit = lambda h: F.call_function("shiftleft", side(h) if half else 1 - side(h), h.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(keys: Column, half: bool) -> Column:
+    """The parity of a set's words by their last 6 bits, of all words or of
+    those whose next bit is set: two sets differ in as many words at least as
+    the parities of one part differ in bits."""
+    one = F.lit(1).cast("long")
+    side = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(one) if half else one
+    bit = lambda h: F.call_function("shiftleft", side(h), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
@@ -104,33 +112,43 @@ def _prefix(n: Column) -> Column:
 
 def line_classes(texts: DataFrame) -> DataFrame:
     """One row per distinct word set: its first place, size, prefix words and
-    parity. The empty set is one of them, with size 0."""
-    ranks = _ranked(rarity_ranks(texts))
+    parities. The empty set is one of them, with size 0."""
+    masks = _masks(rarity_ranks(texts))
     lines = texts.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     e = F.shiftleft(F.col("line").cast("long"), _TEXT_BITS).bitwiseOR(F.col("h"))
-    keyed = lines.select("d", e.alias("e"), _by_rarity(word_hashes(F.col("t")), ranks).alias("keys"))
+    keyed = lines.select("d", e.alias("e"), _by_rarity(word_hashes(F.col("t")), masks).alias("keys"))
     n = F.size("keys")
-    words = F.transform(F.slice("keys", F.lit(1), _prefix(n)), lambda k: k.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)))
     cut = keyed.select(
-        F.xxhash64("keys").alias("k1"), F.hash("keys").alias("k2"),
-        F.struct("d", "e", n.alias("n"), _parity(F.col("keys"), 0).alias("parity"), _parity(F.col("keys"), 1).alias("parity2"), words.alias("prefix")).alias("place"),
+        F.xxhash64("keys").alias("k"), n.alias("n"), _parity(F.col("keys"), False).alias("all"), _parity(F.col("keys"), True).alias("parity2"),
+        F.struct("d", "e", F.slice("keys", F.lit(1), _prefix(n)).alias("prefix")).alias("place"),
     )
-    return cut.groupBy("k1", "k2").agg(F.min("place").alias("place")).select("place.*")
+    # all four columns tell sets apart; the last three are needed further on
+    rows = cut.groupBy("k", "n", "all", "parity2").agg(F.min("place").alias("place"))
+    return rows.select("place.d", "place.e", "n", F.col("all").bitwiseXOR(F.col("parity2")).alias("parity"), "parity2", "place.prefix")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
     """A row for each class and prefix word. Sets of up to 3 words are alike
     only if equal, so they need none."""
-    rows = classes.where("n > 3").select(*(c for c in classes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word"))
-    return rows.withColumn("size", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
+    rows = classes.where("n > 3").select(*(c for c in classes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "key"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    return rows.withColumns({"size": size, "word": F.col("key").bitwiseAND(F.lit((1 << _WORD_BITS) - 1))}).drop("n", "pos", "key")
 
 
 def _may_be_alike(a: str, b: str) -> Column:
-    """Length, positional and parity filters: enough words can still be shared."""
+    """Parity, length and positional filters: enough words can still be shared.
+    The parities go first, as hardly any pair gets past them."""
     (na, pa), (nb, pb) = ((F.shiftright(F.col(x.format("size")), 32), F.col(x.format("size")).bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b))
     rest = F.least(na - pa, nb - pb)
-    apart = sum(F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in ("parity", "parity2"))
-    return (OF * F.least(na, nb) >= ALIKE * F.greatest(na, nb)) & ((OF + ALIKE) * rest >= ALIKE * (na + nb)) & ((OF + ALIKE) * apart <= (OF - ALIKE) * (na + nb))
+    apart = [F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in ("parity", "parity2")]
+    few = lambda bits: (OF + ALIKE) * bits <= (OF - ALIKE) * (na + nb)
+    return few(apart[0]) & few(apart[0] + apart[1]) & (OF * F.least(na, nb) >= ALIKE * F.greatest(na, nb)) & ((OF + ALIKE) * rest >= ALIKE * (na + nb))
+
+
+def _earlier(a: str, b: str) -> Column:
+    """Whether place ``a`` comes before place ``b``."""
+    d, e = ((F.col(a.format(c)), F.col(b.format(c))) for c in PLACE)
+    return (d[0] < d[1]) | ((d[0] == d[1]) & (e[0] < e[1]))
 
 
 def _named(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
@@ -140,8 +158,7 @@ def _named(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
 def earliest_pairs(entries: DataFrame) -> DataFrame:
     """(place, earlier place): the earliest class under each prefix word."""
     rows = entries.withColumn("x", F.min(F.struct(*PLACE, "size", "parity", "parity2")).over(Window.partitionBy("word")))
-    earlier = F.struct(*(F.col(f"x.{c}") for c in PLACE)) < F.struct(*PLACE)
-    rows = rows.where(earlier & _may_be_alike("{}", "x.{}"))
+    rows = rows.where(_may_be_alike("{}", "x.{}") & _earlier("x.{}", "{}"))
     return rows.select(*PLACE, *(F.col(f"x.{c}").alias(f"{c}_e") for c in PLACE)).distinct()
 
 
@@ -151,9 +168,8 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     the test on ``open`` names both sides to stay in the join."""
     columns = (*PLACE, "size", "parity", "parity2", "word", "open")
     late, early = _named(entries, "_l", *columns), _named(entries, "_e", *columns)
-    earlier = F.struct(*(F.col(f"{c}_e") for c in PLACE)) < F.struct(*(F.col(f"{c}_l") for c in PLACE))
     wanted = F.greatest(F.col("open_l"), F.col("open_e") - 1) > 0
-    rows = late.join(early, (F.col("word_l") == F.col("word_e")) & wanted & earlier & _may_be_alike("{}_l", "{}_e"))
+    rows = late.join(early, (F.col("word_l") == F.col("word_e")) & _may_be_alike("{}_l", "{}_e") & wanted & _earlier("{}_e", "{}_l"))
     return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
 
 
@@ -163,7 +179,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     h = F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
     wanted = places.groupBy("d", h.alias("h")).agg(F.collect_list("e").alias("wanted"))
     lines = texts.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("e"))
-    sets = written(lines.select("d", "e", word_hashes(F.get("lines", F.shiftright("e", _TEXT_BITS).cast("int"))).alias("keys")), "line-sets")
+    line = F.get("lines", F.shiftright("e", _TEXT_BITS).cast("int"))
+    sets = written(lines.select("d", "e", word_hashes(line).alias("keys")), "line-sets")
     rows = pairs.join(sets, list(PLACE)).join(_named(sets, "_e", *PLACE, "keys"), [f"{c}_e" for c in PLACE])
     shared = F.size(F.array_intersect("keys", "keys_e"))
     return rows.where((OF + ALIKE) * shared >= ALIKE * (F.size("keys") + F.size("keys_e"))).select(*PLACE).distinct()
