@@ -30,7 +30,8 @@ from tidemark.llm.shared import fresh, written
 # similarity as a fraction
 ALIKE, OF = 4, 5
 _BUCKETS = 1 << 16
-_BLANK = "\t\n\x0b\x0c\r"
+#: White space in ASCII besides blanks and line ends.
+_BLANK = "\t\x0b\x0c\r"
 _LEAST = -(1 << 63)
 #: A place is d (the doc_id) and e: the line's number, then 24 bits of the text's
 #: hash, which tell apart rows of one doc_id.
@@ -38,13 +39,15 @@ PLACE = ("d", "e")
 _TEXT_BITS = 24
 #: Bits of a prefix word that are compared before the sets themselves are.
 _WORD_BITS = 40
+#: Bits of the map of texts that are read again: 4 MB, whatever the input.
+_MARKS = 1 << 25
 
 
 def _split_words(text: Column) -> Column:
-    """What stands between white space in ASCII; some entries are empty. Few
+    """What stands between white space in a line; some entries are empty. Few
     lines have other white space than blanks, and blanks need no pattern."""
-    odd = F.contains(text, F.lit(_BLANK[0]))
-    for c in _BLANK[1:]:
+    odd = F.lit(False)
+    for c in _BLANK:
         odd = odd | F.contains(text, F.lit(c))
     return F.when(odd, F.split(text, f"[ {_BLANK}]")).otherwise(F.split(text, " "))
 
@@ -127,18 +130,30 @@ def line_classes(texts: DataFrame) -> DataFrame:
     return rows.select("place.d", "place.e", "n", F.col("all").bitwiseXOR(F.col("parity2")).alias("parity"), "parity2", "place.prefix")
 
 
+#: Bits of ``size``: the set's size, its class still open, the word's position.
+_OPEN_BIT = 31
+
+
 def _entries(classes: DataFrame) -> DataFrame:
-    """A row for each class and prefix word. Sets of up to 3 words are alike
+    """A row for each class and prefix word, of classes that are all open or
+    say so by a column ``open`` (1, else 0). Sets of up to 3 words are alike
     only if equal, so they need none."""
-    rows = classes.where("n > 3").select(*(c for c in classes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "key"))
-    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    return rows.withColumns({"size": size, "word": F.col("key").bitwiseAND(F.lit((1 << _WORD_BITS) - 1))}).drop("n", "pos", "key")
+    rows = classes.where("n > 3")
+    is_open = F.col("open") if "open" in rows.columns else F.lit(1)
+    size = F.shiftleft(F.col("n").cast("long"), _OPEN_BIT + 1).bitwiseOR(F.shiftleft(is_open.cast("long"), _OPEN_BIT))
+    rows = rows.select(*PLACE, size.alias("size"), "parity", "parity2", F.posexplode("prefix").alias("pos", "key"))
+    word = F.col("key").bitwiseAND(F.lit((1 << _WORD_BITS) - 1))
+    return rows.select(*PLACE, F.col("size").bitwiseOR(F.col("pos").cast("long")).alias("size"), "parity", "parity2", word.alias("word"))
+
+
+def _is_open(size: Column) -> Column:
+    return size.bitwiseAND(F.lit(1 << _OPEN_BIT))
 
 
 def _may_be_alike(a: str, b: str) -> Column:
     """Parity, length and positional filters: enough words can still be shared.
     The parities go first, as hardly any pair gets past them."""
-    (na, pa), (nb, pb) = ((F.shiftright(F.col(x.format("size")), 32), F.col(x.format("size")).bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b))
+    (na, pa), (nb, pb) = ((F.shiftright(F.col(x.format("size")), _OPEN_BIT + 1), F.col(x.format("size")).bitwiseAND(F.lit((1 << _OPEN_BIT) - 1))) for x in (a, b))
     rest = F.least(na - pa, nb - pb)
     apart = [F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in ("parity", "parity2")]
     few = lambda bits: (OF + ALIKE) * bits <= (OF - ALIKE) * (na + nb)
@@ -163,22 +178,34 @@ def earliest_pairs(entries: DataFrame) -> DataFrame:
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
-    """(place, earlier place) of the classes still ``open`` (1, else 0) with all
-    earlier ones. Both sides are the same rows, so that they are dealt once:
-    the test on ``open`` names both sides to stay in the join."""
-    columns = (*PLACE, "size", "parity", "parity2", "word", "open")
+    """(place, earlier place) of the classes still open with all earlier ones.
+    Both sides are the same rows, so that they are dealt once: the test for
+    openness names both sides to stay in the join."""
+    columns = (*PLACE, "size", "parity", "parity2", "word")
     late, early = _named(entries, "_l", *columns), _named(entries, "_e", *columns)
-    wanted = F.greatest(F.col("open_l"), F.col("open_e") - 1) > 0
+    wanted = _is_open(F.greatest("size_l", F.least("size_l", "size_e"))) > 0
     rows = late.join(early, (F.col("word_l") == F.col("word_e")) & _may_be_alike("{}_l", "{}_e") & wanted & _earlier("{}_e", "{}_l"))
     return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
 
 
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose (d, h) may be among ``wanted``, by a bitmap of fixed
+    size: what is not needed stays out of the shuffle behind it. A bit that
+    several share lets a text through in vain, never the other way about."""
+    place = F.pmod(F.xxhash64("d", "h"), F.lit(_MARKS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return texts.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "part").where(found).select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The places of ``pairs`` whose word sets are alike, by counting shared words."""
     places = pairs.select(*PLACE).union(pairs.select(*(f"{c}_e" for c in PLACE))).distinct()
     h = F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
     wanted = places.groupBy("d", h.alias("h")).agg(F.collect_list("e").alias("wanted"))
-    lines = texts.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("e"))
+    lines = _marked(texts, wanted).join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("e"))
     line = F.get("lines", F.shiftright("e", _TEXT_BITS).cast("int"))
     sets = written(lines.select("d", "e", word_hashes(line).alias("keys")), "line-sets")
     rows = pairs.join(sets, list(PLACE)).join(_named(sets, "_e", *PLACE, "keys"), [f"{c}_e" for c in PLACE])
@@ -201,7 +228,7 @@ def kept_places(texts: DataFrame) -> DataFrame:
 
 
 def _blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(" " + _BLANK)) == ""
+    return F.btrim(line, F.lit(" \n" + _BLANK)) == ""
 
 
 def report(documents: DataFrame) -> DataFrame:
