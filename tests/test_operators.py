@@ -108,7 +108,7 @@ def test_gating_recovers_from_a_shift():
     from tidemark.streaming.calibrators import Quantile
 
     rng = np.random.default_rng(5)
-    c = Quantile(q=0.01, window=200, gate=2.0, most=50, floor=0.1)
+    c = Quantile(q=0.01, window=200, gated=True, gate=2.0, most=50, floor=0.1)
     tau = [c.push(float(x)) for x in np.concatenate([rng.normal(1, 0.1, 300), rng.normal(10, 0.1, 300)])]
     assert tau[290] < 2 and tau[320] < 2 and tau[360] > 8
 
@@ -140,3 +140,102 @@ def test_nearest_searches_the_whole_bank(spark, tmp_path, monkeypatch):
     assert catalog.QUERIES["successor_scores"](spark, str(tmp_path)).count() == n
     few = rows.where("vec_id < 5")  # contexts outside the bank keep all k
     assert neighbours.nearest(rows.where("vec_id >= 290"), few, 5, leave_out_self=True).count() == 50
+
+
+def _series(spark, values, stream="a"):
+    return spark.createDataFrame([(stream, t, float(v)) for t, v in enumerate(values)], "stream_id string, t long, value double")
+
+
+def test_spectra_match_frames(spark):
+    from tidemark.operators import spectral
+
+    x = np.round(np.random.default_rng(4).normal(size=150), 3)
+    got = {r.t: r for r in spectral.fft_features(_series(spark, x), 64).join(spectral.stft_features(_series(spark, x), 128), ["stream_id", "t"]).collect()}
+    assert len(got) == len(x)
+    for t in (0, 6, 7, 20, 62, 63, 100, 126, 127, 149):
+        for width, names in ((64, "fft_dominant fft_entropy fft_power"), (128, "stft_low stft_mid stft_high stft_centroid")):
+            frame = x[max(0, t + 1 - width) : t + 1]
+            if len(frame) < 8:
+                want = [0.0] * 4
+            else:
+                p = np.abs(np.fft.rfft(frame - frame.mean())) ** 2
+                q = p / p.sum()
+                third = np.array_split(p, 3)
+                want = [p[1:].argmax() + 1, -(q * np.log2(q + 1e-12)).sum(), p.sum()] if width == 64 else [*(v.mean() for v in third), (np.fft.rfftfreq(len(frame)) * q).sum()]
+            assert np.allclose([got[t][n] for n in names.split()], want[: len(names.split())], atol=1e-9), (t, width)
+
+
+def test_dynamic_smoothing_gives_the_long_average_inside_labels(spark):
+    from tidemark.operators import rolling
+
+    rows = _series(spark, range(60)).selectExpr("*", "1 as label")
+    got = {r.t: r.smoothed for r in rolling.smooth_dynamic(rows, 4, 12).collect()}
+    assert got[30] == sum(range(24, 36)) / 12
+
+
+def test_range_precision_is_pooled(spark):
+    from tidemark.operators import metrics
+
+    label, alarm = [0, 1, 1, 0, 0, 0, 0, 0, 1, 1], [0, 1, 0, 0, 0, 0, 0, 1, 1, 0]
+    alarm[6] = 1
+    rows = spark.createDataFrame([("a", t, y, a) for t, (y, a) in enumerate(zip(label, alarm, strict=True))], "stream_id string, t long, label int, alarm int")
+    r = metrics.range_metrics(rows).first()
+    assert abs(r.precision - 2 / 4) < 1e-12 and abs(r.recall - 0.75) < 1e-12
+
+
+def test_elbows_and_floor(spark):
+    from tidemark.functions import thresholds
+
+    flat = spark.createDataFrame([("flat", 3.0)] * 30 + [("few", float(i)) for i in range(5)] + [("ramp", float(i**3)) for i in range(40)], "stream_id string, score double")
+    assert {r.stream_id: r.tau for r in thresholds.elbow(flat, "upper").collect()}["flat"] == 3.0
+    x = np.sort([float(i**3) for i in range(40)])
+    a, b = int(0.05 * 39), int(np.ceil(0.995 * 39))
+    part = x[a : b + 1]
+    u, v = np.linspace(0, 1, len(part)), (part - part[0]) / (part[-1] - part[0])
+    assert {r.stream_id: r.tau for r in thresholds.elbow(flat).collect()}["ramp"] == part[(u - v).argmax()]
+    floor = {r.stream_id: r for r in thresholds.score_floor(flat).collect()}
+    assert (floor["flat"].reason, floor["few"].reason, floor["ramp"].reason) == ("flat_score_distribution", "too_few_scores", "ok")
+    assert floor["few"].tau == 0 and floor["ramp"].tau in (floor["ramp"].lower_elbow, floor["ramp"].upper_elbow, floor["ramp"].otsu)
+
+
+def test_online_quantile_rules():
+    from tidemark.streaming.calibrators import Quantile, Stochastic
+
+    q = Quantile(q=0.1, window=10, least=5, floor=0.01)
+    # the maximum before the fifth score, the quantile of the window from then on
+    assert [q.push(x) for x in (1.0, 3.0, 2.0, 2.5)] == [1.0, 3.0, 3.0, 3.0]
+    assert abs(q.push(1.5) - np.percentile([1, 3, 2, 2.5, 1.5], 90)) < 1e-12
+    assert q.push(float("nan")) == q.tau and q.seen == 5
+    g = Quantile(q=0.1, window=10, least=5, floor=0.01, gated=True, most=2)
+    g.fit(np.arange(1, 11) / 10)
+    level = g.tau
+    assert [g.push(9.0), g.push(9.0)] == [level, level] and g.withheld == 2
+    # the third in a row is a shift of regime: all three enter
+    assert g.push(9.0) > level and g.values[-3:] == [9.0] * 3 and g.in_a_row == 0
+    s = Stochastic(q=0.05, window=10, least=5, floor=0.01, rate=0.1)
+    s.fit(np.arange(1, 11) / 10)
+    before, scale = s.theta, float(np.std(np.arange(1, 11) / 10))
+    s.push(5.0)
+    assert abs(s.theta - (before + 0.1 / np.sqrt(1 + 0.005 * 11) * 0.95 * scale)) < 1e-12 and abs(s.scale - scale) < 1e-12
+
+
+def test_collapse_streams(spark):
+    from tidemark.operators import rolling
+
+    rng = np.random.default_rng(1)
+    train, calibration = rng.normal(size=200), rng.normal(size=150)
+    test = np.concatenate([rng.normal(size=90), np.full(80, 0.25)])
+    reference = rolling.collapse_reference(_series(spark, train), _series(spark, calibration))
+    late = _series(spark, test).selectExpr("stream_id", "t + 1000 as t", "value")
+    got = {r.t - 1000: r for r in rolling.collapse_branch(late, reference).collect()}
+    mu = np.median(calibration)
+    sd = max(1.4826 * np.median(abs(calibration - mu)), 0.2)
+    x = train - mu
+    phi = np.clip((x[1:] * x[:-1]).sum() / (x[:-1] ** 2).sum(), -0.98, 0.98)
+    level = max(np.median([calibration[i : i + 64].std() for i in range(150 - 63)]), 0.05)
+    y = test - mu
+    e = ((y - phi * np.append(0, y[:-1])) / sd) ** 2
+    for t in (0, 10, 63, 100, 160, 169):
+        f = slice(max(t, 63) - 63, max(t, 63) + 1)
+        want = [max(0, -np.log10((test[f].std() + 1e-6) / level)), np.sqrt(e[f].mean()), abs(y[f].mean()) / sd]
+        assert np.allclose([got[t].var_drop, got[t].innovation_rms, got[t].bias_z], want, atol=1e-7), t

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import robust, tails, thresholds
-from tidemark.operators import generators, mapping, metrics, neighbours, panels, results, rolling, segments
+from tidemark.operators import generators, mapping, metrics, neighbours, panels, results, rolling, segments, spectral
 from tidemark.sources.series import daily_channels, event_series, label_ranges, numbered
 from tidemark.streaming import calibrators
 
@@ -38,33 +38,29 @@ def _islands(source: str, flag: str, name: str) -> str:
 {name} AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY min(t)) AS segment, min(t) AS start, max(t) + 1 AS "end" FROM {name}_g GROUP BY stream_id, g)"""
 
 
-#: Added before rounding: values have two decimals, so means over 2, 4, 8 ...
-#: rows end in exact halves, which two engines may round apart. It has more than
-#: nine decimals, so that distances already rounded to nine do not land on halves.
-OFF_HALVES = 3.7037e-8
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; -0.0 becomes 0.0."""
-    return df.select(*((F.round(F.col(f"`{c}`") + OFF_HALVES, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+    """Doubles rounded for comparison: to single precision and then to six
+    decimals. Two engines' sums differ in the last bits of a double only; values
+    that end in exact decimal halves are past the half, one way or the other and
+    the same in both, once they are in single precision. -0.0 becomes 0.0."""
+    plain = lambda c: F.round(F.col(f"`{c}`").cast("float").cast("double"), digits) + F.lit(0.0)
+    return df.select(*(plain(c).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
-def _off_halves(sql: str) -> str:
+def _rounded_sql(sql: str) -> str:
     """The same in SQL: every ``round(x, 6)``."""
     out, opened, k = [], [], 0
     while k < len(sql):
         if sql.startswith("round(", k):
-            opened.append(True)
-            out.append("(round(")
+            opened.append(len(out))
+            out.append("round(")
             k += 6
             continue
         if sql[k] == "(":
-            opened.append(False)
-        elif sql[k] == ")" and opened and opened.pop():
-            if out[-1] == "6" and "".join(out[-3:]) == ", 6":
-                out[-3:] = [f" + {OFF_HALVES}, 6) + 0.0)"]
-            else:
-                out.append("))")
+            opened.append(-1)
+        elif sql[k] == ")" and opened and (at := opened.pop()) >= 0 and "".join(out[-3:]) == ", 6":
+            out[at] = "(round(CAST(CAST("
+            out[-3:] = [" AS FLOAT) AS DOUBLE), 6) + 0.0)"]
             k += 1
             continue
         out.append(sql[k])
@@ -76,7 +72,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = _off_halves(sql)
+            ORACLE_SQL[name] = _rounded_sql(sql)
         return f
 
     return add
@@ -93,6 +89,10 @@ def window_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return mapping.window_scores(series, C, S, STEP), mapping.lengths(series)
 
 
+#: The nominal part of a stream, by its length.
+_SPLIT: Callable[[str], Column] = lambda n: F.col("t") < F.floor(0.65 * F.col(n))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_series(spark, sf_dir).select("stream_id", "t", F.col("value").alias("score"), "label")
 
@@ -115,10 +115,14 @@ def _norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.join(F.broadcast(stats), "stream_id").select("stream_id", "t", robust.normalise(F.col("value"), F.col("mean"), F.col("sd")).alias("z"))
 
 
-@query("label_ranges", """WITH x(chan_id, start, "end") AS (VALUES ('A', 10, 20), ('A', 30, 50), ('C', 0, 3), ('D', 5, 6)) SELECT chan_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM x""")
+@query("label_ranges", """WITH c AS (SELECT 's' || s_suppkey AS chan_id, s_suppkey AS k, CAST(40 + s_nationkey AS BIGINT) AS n FROM supplier), r AS (SELECT chan_id, n, CAST(k % 20 AS BIGINT) AS a, CAST(k % 20 + 5 AS BIGINT) AS z FROM c WHERE k % 4 < 3 UNION ALL SELECT chan_id, n, 40, 70 FROM c WHERE k % 4 = 0 UNION ALL SELECT chan_id, n, -4, 3 FROM c WHERE k % 4 = 1)
+SELECT chan_id, greatest(a, 0) AS start, least(z, n) AS "end" FROM r WHERE greatest(a, 0) < least(z, n)""")
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("A", 50, "[[10, 20], (30, 60)]"), ("B", 50, "[]"), ("C", 50, "[(-4, 3)]"), ("D", 9, "[[5]]"), ("E", 9, "nan"), ("F", 9, None)]
-    return label_ranges(spark.createDataFrame(rows, "chan_id string, num_values int, anomaly_sequences string"))
+    k = F.col("s_suppkey")
+    first = F.concat(F.lit("["), (k % 20).cast("string"), F.lit(", "), (k % 20 + 5).cast("string"), F.lit("]"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("["), first, F.lit(", (40, 70)]"))).when(k % 4 == 1, F.concat(F.lit("[(-4, 3), "), first, F.lit("]"))).when(k % 4 == 2, F.concat(F.lit("["), first, F.lit("]"))).when(k % 8 == 3, "nan")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), k.cast("string")).alias("chan_id"), (40 + F.col("s_nationkey")).alias("num_values"), text.alias("anomaly_sequences"))
+    return label_ranges(rows)
 
 
 @query("manifest", f"""WITH {_S} SELECT stream_id, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_anomalous, round(sum(label) / count(*), 6) AS rate, CASE WHEN stream_id IN (SELECT stream_id FROM l GROUP BY 1 HAVING avg(value) > 50) THEN 'development' ELSE 'untouched' END AS role FROM l GROUP BY 1""")
@@ -168,6 +172,18 @@ def _shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_shape(event_series(spark, sf_dir))
 
 
+def _other_widths(w: int) -> None:
+    f = _frame(w - 1)
+
+    @query(f"feat_roll_median_{w}", f"WITH {_S} SELECT stream_id, t, round(quantile_cont(value, 0.5) {f}, 6) AS median_{w} FROM s")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rolling.rolling_median(event_series(spark, sf_dir), w)
+
+    @query(f"feat_skew_kurt_{w}", f"WITH {_S}, m AS (SELECT stream_id, t, count(*) {f} AS n, skewness(value) {f} AS g, kurtosis(value) {f} AS k FROM s) SELECT stream_id, t, CASE WHEN n < 3 THEN 0 ELSE round(g, 6) END AS skew_{w}, CASE WHEN n < 4 THEN 0 ELSE round(k, 6) END AS kurt_{w} FROM m")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rolling.rolling_shape(event_series(spark, sf_dir), w)
+
+
 @query("feat_slope", f"WITH {_S} SELECT stream_id, t, {_r(*(f'CASE WHEN t = 0 THEN 0 ELSE regr_slope(value, t) {_frame(w - 1)} END AS slope_{w}' for w in (16, 64)))} FROM s")
 def _slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_slope(event_series(spark, sf_dir))
@@ -214,7 +230,7 @@ def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("smooth_dynamic", f"""WITH {_S}, a AS (SELECT stream_id, t, sum(value) {_frame(25, '24 FOLLOWING')} / 50 AS short, sum(value) {_frame(100, '99 FOLLOWING')} / 200 AS long, least(greatest(sum(CAST(label AS DOUBLE)) {_frame(25, '24 FOLLOWING')} / 50, 0), 1) AS u FROM l)
-SELECT stream_id, t, round(u * short + (1 - u) * long, 6) AS smoothed FROM a""")
+SELECT stream_id, t, round((1 - u) * short + u * long, 6) AS smoothed FROM a""")
 def _dynamic_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.smooth_dynamic(event_series(spark, sf_dir))
 
@@ -224,9 +240,39 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.persistence(event_series(spark, sf_dir), F.col("value") > 30)
 
 
-@query("collapse_branch", f"""WITH {_S}, p AS (SELECT *, lag(value) {_O} AS p FROM s) SELECT stream_id, t, {_r(f'ln(stddev_pop(value) {_frame(63)} + 1e-6) AS log_std', f'least(greatest(coalesce(sum(value * p) {_frame(63)} / (sum(p * p) {_frame(63)} + 1e-12), 0), -0.98), 0.98) AS phi')} FROM p""")
+@query("collapse_branch", f"""WITH {_S}, n AS (SELECT stream_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT s.*, CASE WHEN t < floor(0.4 * n) THEN 'fit' WHEN t < floor(0.65 * n) THEN 'cal' ELSE 'test' END AS part FROM s JOIN n USING (stream_id)),
+mu AS (SELECT stream_id, quantile_cont(value, 0.5) AS mu FROM p WHERE part = 'cal' GROUP BY 1), sd AS (SELECT p.stream_id, greatest(1.4826 * quantile_cont(abs(value - mu), 0.5), 0.2) AS sd FROM p JOIN mu USING (stream_id) WHERE part = 'cal' GROUP BY 1),
+x AS (SELECT p.stream_id, value - mu AS x, lag(value - mu) OVER (PARTITION BY p.stream_id ORDER BY t) AS y FROM p JOIN mu USING (stream_id) WHERE part = 'fit'), phi AS (SELECT stream_id, least(greatest(sum(x * y) / greatest(sum(y * y), 1e-6), -0.98), 0.98) AS phi FROM x WHERE y IS NOT NULL GROUP BY 1),
+cs AS (SELECT a.stream_id, a.t, stddev_pop(b.value) AS v FROM p a JOIN p b ON a.stream_id = b.stream_id AND b.part = 'cal' AND b.t > a.t - 64 AND b.t <= a.t WHERE a.part = 'cal' GROUP BY 1, 2 HAVING count(*) = 64), lv AS (SELECT stream_id, greatest(quantile_cont(v, 0.5), 0.05) AS level FROM cs GROUP BY 1),
+e AS (SELECT stream_id, t, value - mu AS x, pow(((value - mu) - phi * coalesce(lag(value - mu) OVER (PARTITION BY stream_id ORDER BY t), 0)) / sd, 2) AS e, sd, level, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i, count(*) OVER (PARTITION BY stream_id) AS m FROM p JOIN mu USING (stream_id) JOIN sd USING (stream_id) JOIN phi USING (stream_id) JOIN lv USING (stream_id) WHERE part = 'test'),
+f AS (SELECT a.stream_id, a.i, greatest(0, -log10((stddev_pop(b.x) + 1e-6) / any_value(a.level))) AS vd, sqrt(avg(b.e)) AS ir, abs(avg(b.x)) / any_value(a.sd) AS bz FROM e a JOIN e b ON a.stream_id = b.stream_id AND b.i > a.i - 64 AND b.i <= a.i WHERE a.i >= 64 GROUP BY 1, 2)
+SELECT e.stream_id, e.t, {_r('CASE WHEN m <= 64 THEN 0 ELSE vd END AS var_drop', 'CASE WHEN m <= 64 THEN 0 ELSE ir END AS innovation_rms', 'CASE WHEN m <= 64 THEN 0 ELSE bz END AS bias_z')} FROM e LEFT JOIN f ON f.stream_id = e.stream_id AND f.i = greatest(e.i, 64)""")
 def _collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.collapse_branch(event_series(spark, sf_dir))
+    series = event_series(spark, sf_dir).join(mapping.lengths(event_series(spark, sf_dir)), "stream_id")
+    a, b = F.floor(0.4 * F.col("n")), F.floor(0.65 * F.col("n"))
+    train, calibration, test = (series.where(c).select("stream_id", "t", "value") for c in (F.col("t") < a, (F.col("t") >= a) & (F.col("t") < b), F.col("t") >= b))
+    return rolling.collapse_branch(test, rolling.collapse_reference(train, calibration))
+
+
+for _w in (10, 60):
+    _other_widths(_w)
+
+
+def _spectra(width: int) -> str:
+    """Powers of each growing frame, as sums of sines and cosines."""
+    return f"""WITH {_S}, f AS (SELECT a.stream_id, a.t, least(a.t + 1, {width}) AS n, b.t - a.t + least(a.t + 1, {width}) - 1 AS j, b.value - avg(b.value) OVER (PARTITION BY a.stream_id, a.t) AS x FROM s a JOIN s b ON a.stream_id = b.stream_id AND b.t > a.t - {width} AND b.t <= a.t WHERE a.t >= 7),
+p AS (SELECT stream_id, t, n, k, pow(sum(x * cos(2 * pi() * k * j / n)), 2) + pow(sum(x * sin(2 * pi() * k * j / n)), 2) AS p FROM f, (SELECT unnest(range({width // 2 + 1})) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("feat_fft", f"""{_spectra(64)}, g AS (SELECT *, sum(p) OVER (PARTITION BY stream_id, t) AS total FROM p), h AS (SELECT stream_id, t, arg_max(k, p) AS top, -sum(p / total * log2(p / total + 1e-12)) AS e, any_value(total) AS total FROM g WHERE total > 1e-12 GROUP BY 1, 2) SELECT stream_id, t, {_r('coalesce(CAST(top AS DOUBLE), 0) AS fft_dominant', 'coalesce(e, 0) AS fft_entropy', 'sqrt(coalesce(total, 0)) AS fft_amplitude')} FROM s LEFT JOIN h USING (stream_id, t)""")
+def _fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.fft_features(event_series(spark, sf_dir))
+    return rows.select("stream_id", "t", "fft_dominant", "fft_entropy", F.sqrt("fft_power").alias("fft_amplitude"))
+
+
+@query("feat_stft", f"""{_spectra(128)}, g AS (SELECT *, n // 2 + 1 AS m, (n // 2 + 1) // 3 AS w, (n // 2 + 1) % 3 AS o FROM p), c AS (SELECT *, w + CASE WHEN o > 0 THEN 1 ELSE 0 END AS c1, 2 * w + o AS c2 FROM g), h AS (SELECT stream_id, t, avg(p) FILTER (WHERE k < c1) AS lo, avg(p) FILTER (WHERE k >= c1 AND k < c2) AS mi, avg(p) FILTER (WHERE k >= c2) AS hi, sum(p * k / n) / sum(p) AS ce FROM c GROUP BY 1, 2) SELECT stream_id, t, {_r('coalesce(lo, 0) AS stft_low', 'coalesce(mi, 0) AS stft_mid', 'coalesce(hi, 0) AS stft_high', 'coalesce(ce, 0) AS stft_centroid')} FROM s LEFT JOIN h USING (stream_id, t)""")
+def _stft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.stft_features(event_series(spark, sf_dir))
 
 
 # -- robust statistics and scores
@@ -382,7 +428,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.event_metrics(alarms(spark, sf_dir)).where("n_true > 0")
 
 
-@query("range_metrics", f"{_TWO}, r AS (SELECT stream_id, avg(0.5 * hit + 0.5 * share) AS recall FROM (SELECT y.stream_id, segment, max(alarm) AS hit, avg(alarm) AS share FROM y JOIN a ON a.stream_id = y.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1), p AS (SELECT stream_id, avg(share) AS precision FROM (SELECT g.stream_id, segment, avg(label) AS share FROM g JOIN a ON a.stream_id = g.stream_id AND t >= start AND t < \"end\" GROUP BY 1, 2) GROUP BY 1), b AS (SELECT st.stream_id, CASE WHEN p.precision IS NULL OR r.recall IS NULL THEN 0 ELSE p.precision END AS precision, CASE WHEN p.precision IS NULL OR r.recall IS NULL THEN 0 ELSE r.recall END AS recall FROM (SELECT DISTINCT stream_id FROM a) st LEFT JOIN r USING (stream_id) LEFT JOIN p USING (stream_id)) SELECT stream_id, {_r('precision', 'recall', 'coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1')} FROM b")
+@query("range_metrics", f"{_TWO}, o AS (SELECT y.stream_id, y.segment, y.\"end\" - y.start AS size, coalesce(sum(least(y.\"end\", g.\"end\") - greatest(y.start, g.start)) FILTER (WHERE g.start IS NOT NULL), 0) AS met FROM y LEFT JOIN g ON g.stream_id = y.stream_id AND g.start < y.\"end\" AND y.start < g.\"end\" GROUP BY 1, 2, 3), r AS (SELECT stream_id, avg(0.5 * CASE WHEN met > 0 THEN 1 ELSE 0 END + 0.5 * met / size) AS recall, sum(met) AS met FROM o GROUP BY 1), p AS (SELECT stream_id, sum(\"end\" - start) AS size FROM g GROUP BY 1), b AS (SELECT st.stream_id, CASE WHEN p.size IS NULL OR r.recall IS NULL THEN 0 ELSE r.met / p.size END AS precision, CASE WHEN p.size IS NULL OR r.recall IS NULL THEN 0 ELSE r.recall END AS recall FROM (SELECT DISTINCT stream_id FROM a) st LEFT JOIN r USING (stream_id) LEFT JOIN p USING (stream_id)) SELECT stream_id, {_r('precision', 'recall', 'coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1')} FROM b")
 def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.range_metrics(alarms(spark, sf_dir))
 
@@ -412,12 +458,12 @@ def _ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ks_statistic(series.join(F.broadcast(n), "stream_id").withColumn("late", (F.col("t") >= F.floor(F.col("n") / 2)).cast("int")), "late")
 
 
-@query("partial_area", """SELECT model, CAST(area AS DOUBLE) AS area FROM (VALUES ('a', 0.925), ('b', 0.6)) v(model, area)""")
+@query("partial_area", """WITH p AS (SELECT 'm' || (s_suppkey % 3) AS model, s_nationkey / 24.0 AS rate, max((s_acctbal + 1000) / 11000) AS recall FROM supplier GROUP BY 1, 2), s AS (SELECT a.model, a.rate AS x0, b.rate AS x1, a.recall AS y0, b.recall AS y1 FROM p a JOIN p b ON a.model = b.model AND b.rate = (SELECT min(rate) FROM p c WHERE c.model = a.model AND c.rate > a.rate)),
+c AS (SELECT *, greatest(x0, 0.25) AS a, least(x1, 0.5) AS b FROM s WHERE greatest(x0, 0.25) < least(x1, 0.5)), t AS (SELECT model, sum((b - a) * (y0 + (y1 - y0) * ((a + b) / 2 - x0) / (x1 - x0))) AS s, min(a) AS a, max(b) AS b FROM c GROUP BY 1) SELECT model, round(CASE WHEN a <= 0.25 AND b >= 0.5 THEN s / 0.25 END, 6) AS area FROM t""")
 def _area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", x, y) for x, y in ((0.0, 0.0), (0.1, 0.2), (0.15, 0.8), (0.2, 1.0), (0.4, 1.0), (0.5, 1.0))]
-    rows += [("b", x, y) for x, y in ((0.1, 0.1), (0.1, 0.4), (0.5, 0.8))] + [("c", 0.0, 0.0), ("c", 0.4, 1.0)]
-    found = metrics.partial_area(spark.createDataFrame(rows, "model string, rate double, recall double"), 0.1, 0.5)
-    return found.where("area is not null").withColumn("area", F.round("area", 3))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    model = F.concat(F.lit("m"), (F.col("s_suppkey") % 3).cast("string")).alias("model")
+    return metrics.partial_area(rows.select(model, (F.col("s_nationkey") / 24).alias("rate"), ((F.col("s_acctbal") + 1000) / 11000).alias("recall")), 0.25, 0.5)
 
 
 # -- thresholds
@@ -455,21 +501,35 @@ def _otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.otsu(_by_value(spark, sf_dir))
 
 
-@query("thr_elbow", f"WITH {_S}, r AS (SELECT stream_id, value, row_number() OVER (PARTITION BY stream_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY stream_id) AS n FROM s), b AS (SELECT *, CAST(floor(0.05 * (n - 1)) AS BIGINT) AS a, CAST(floor(0.995 * (n - 1)) AS BIGINT) AS z FROM r), c AS (SELECT *, first_value(value) OVER (PARTITION BY stream_id ORDER BY r) AS s0, last_value(value) OVER (PARTITION BY stream_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s1 FROM b WHERE r BETWEEN a AND z), d AS (SELECT *, round((r - a) / (z - a) - (value - s0) / (s1 - s0), 9) AS d FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY d DESC, r) AS k FROM d) SELECT stream_id, round(value, 6) AS tau FROM k WHERE k = 1")
+_CURVE = f"""WITH {_S}, r AS (SELECT stream_id, value, row_number() OVER (PARTITION BY stream_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY stream_id) AS n FROM s), b AS (SELECT *, CAST(floor(0.05 * (n - 1)) AS BIGINT) AS a, least(greatest(CAST(floor(0.05 * (n - 1)) AS BIGINT) + 2, CAST(ceil(0.995 * (n - 1)) AS BIGINT)), n - 1) AS z FROM r),
+c AS (SELECT *, first_value(value) OVER (PARTITION BY stream_id ORDER BY r) AS s0, last_value(value) OVER (PARTITION BY stream_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s1 FROM b WHERE r BETWEEN a AND z), d AS (SELECT *, CASE WHEN s1 > s0 THEN round((r - a) / (z - a) - (value - s0) / (s1 - s0), 9) ELSE 0 END AS d FROM c),
+lo AS (SELECT stream_id, value AS lower_elbow FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY d DESC, r) AS k FROM d) WHERE k = 1), up AS (SELECT stream_id, value AS upper_elbow FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY d, r) AS k FROM d) WHERE k = 1)"""
+
+
+@query("thr_elbow", f"{_CURVE} SELECT stream_id, {_r('lower_elbow', 'upper_elbow')} FROM lo JOIN up USING (stream_id)")
 def _elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thresholds.elbow(_by_value(spark, sf_dir))
+    rows = _by_value(spark, sf_dir)
+    upper = thresholds.elbow(rows, "upper").withColumnRenamed("tau", "upper_elbow")
+    return thresholds.elbow(rows).withColumnRenamed("tau", "lower_elbow").join(upper, "stream_id")
+
 
+@query("thr_score_floor")
+def _floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thresholds.score_floor(_by_value(spark, sf_dir).withColumn("score", F.least("score", F.lit(60.0))))
 
-@query("thr_dynamic", f"WITH {_S}, q AS (SELECT stream_id, quantile_cont(value, 0.99) AS tau, quantile_cont(value, 0.5) AS m, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 1e-6) AS iqr FROM s GROUP BY 1), f AS (SELECT stream_id, t, quantile_cont(value, 0.5) {_frame(199)} AS lm, quantile_cont(value, 0.75) {_frame(199)} - quantile_cont(value, 0.25) {_frame(199)} AS li, count(*) {_frame(199)} AS k FROM s) SELECT stream_id, t, round(CASE WHEN k >= 20 THEN greatest(lm + (tau - m) * least(greatest(li / iqr, 0.2), 5), lm + 0.5 * li) ELSE tau END, 6) AS tau FROM f JOIN q USING (stream_id)")
+
+@query("thr_dynamic", f"WITH {_S}, n AS (SELECT stream_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT s.*, t < floor(0.65 * n) AS cal FROM s JOIN n USING (stream_id)), q AS (SELECT stream_id, quantile_cont(value, 0.99) AS tau, quantile_cont(value, 0.5) AS m, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 1e-4) AS iqr FROM p WHERE cal GROUP BY 1), f AS (SELECT stream_id, t, quantile_cont(value, 0.5) {_frame(199)} AS lm, quantile_cont(value, 0.75) {_frame(199)} - quantile_cont(value, 0.25) {_frame(199)} AS li, count(*) {_frame(199)} AS k FROM p WHERE NOT cal), g AS (SELECT f.stream_id, t, tau, m, iqr, CASE WHEN k >= 20 THEN lm ELSE m END AS lm, greatest(CASE WHEN k >= 20 THEN li ELSE iqr END, 1e-4) AS li FROM f JOIN q USING (stream_id)) SELECT stream_id, t, round(greatest(lm + (tau - m) * least(greatest(li / iqr, 0.2), 5), lm + 0.5 * li), 6) AS tau FROM g")
 def _thr_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_value(spark, sf_dir)
-    return thresholds.dynamic(rows, thresholds.quantile(rows, 0.99))
+    rows = rows.join(rows.groupBy("stream_id").agg(F.count("*").alias("n")), "stream_id")
+    calibration, test = rows.where(_SPLIT("n")), rows.where(~_SPLIT("n"))
+    return thresholds.dynamic(test, thresholds.quantile(calibration, 0.99), calibration)
 
 
-@query("kurtosis_adapted", f"WITH {_S}, m AS (SELECT stream_id, avg(value) AS m FROM s GROUP BY 1), c AS (SELECT stream_id, least(greatest(avg(pow(value - m, 4)) / (pow(avg(pow(value - m, 2)), 2) + 1e-12) - 3, -2), 500) AS k FROM s JOIN m USING (stream_id) GROUP BY 1) SELECT stream_id, round(CASE WHEN k > 0 THEN least(98 + 4 * k / (k + 15), 99) ELSE greatest(98 + 0.5 * k, 90) END, 6) AS pct, round(1e6 * CASE WHEN k > 0 THEN greatest(1e-3 / (1 + 0.4 * ln(1 + k)), 1e-5) ELSE 1e-3 END, 3) AS risk_ppm FROM c")
+@query("kurtosis_adapted", f"WITH {_S}, m AS (SELECT stream_id, avg(value) AS m FROM s GROUP BY 1), c AS (SELECT stream_id, least(greatest(avg(pow(value - m, 4)) / (pow(avg(pow(value - m, 2)), 2) + 1e-12) - 3, -2), 500) AS k FROM s JOIN m USING (stream_id) GROUP BY 1) SELECT stream_id, round(CASE WHEN k > 0 THEN least(98 + 4 * k / (k + 15), 99) ELSE greatest(98 + 0.5 * k, 90) END, 6) AS pct, round(1e6 * CASE WHEN k > 0 THEN greatest(1e-3 / (1 + 0.4 * ln(1 + k)), 1e-5) ELSE 1e-3 END, 6) AS risk_ppm FROM c")
 def _adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pct, risk = thresholds.kurtosis_adapted(F.col("kurtosis"))
-    return robust.excess_kurtosis(event_series(spark, sf_dir)).select("stream_id", pct.alias("pct"), F.round(1e6 * risk, 3).alias("risk_ppm"))
+    return robust.excess_kurtosis(event_series(spark, sf_dir)).select("stream_id", pct.alias("pct"), (1e6 * risk).alias("risk_ppm"))
 
 
 @query("thr_gpd_moments", f"WITH {_S}, q AS (SELECT stream_id, quantile_cont(value, 0.98) AS u, count(*) AS n FROM s GROUP BY 1), e AS (SELECT stream_id, u, n, count(*) AS n_u, avg(value - u) AS m, var_pop(value - u) AS v FROM s JOIN q USING (stream_id) WHERE value > u GROUP BY 1, 2, 3), g AS (SELECT *, 0.5 * (1 - m * m / v) AS shape, 0.5 * m * (1 + m * m / v) AS scale FROM e) SELECT stream_id, n_u, {_r('u', 'shape', 'scale')}, round(greatest(u, least(CASE WHEN abs(shape) < 1e-5 THEN u - scale * ln(1e-3 * n / n_u) ELSE u + scale / shape * (pow(1e-3 * n / n_u, -shape) - 1) END, u + scale * (10 + ln(n / n_u)))), 6) AS tau FROM g")
@@ -630,33 +690,39 @@ def _quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams
 
 
-@query("stream_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("stream_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = calibrators.tumbling(calibrators.event_stream(spark, sf_dir))
     path = calibrators.shared_path(spark, "tumbling")
     return calibrators.finished(stream, f"{path}/out", f"{path}/checkpoint")
 
 
+def _seeds(spark: SparkSession, sf_dir: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Scores from step 100 on, and the 100 before them as seeds."""
+    rows = _by_value(spark, sf_dir)
+    seed = rows.where(F.col("t") < most).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("t", "score"))).alias("s")).select("stream_id", F.col("s.score").alias("seed"))
+    return rows.where(F.col("t") >= most), seed
+
+
 @query("online_quantile")
 def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrators.offline(_by_value(spark, sf_dir), "quantile", q=0.01, window=500, step=10, gate=2.0)
+    rows, seeds = _seeds(spark, sf_dir, 100)
+    return calibrators.offline(rows, "quantile", seeds, q=0.01, window=500, step=10, gated=True, gate=1.5)
 
 
 @query("online_stochastic")
 def _stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrators.offline(_by_value(spark, sf_dir), "stochastic", q=0.05, rate=0.1)
+    rows, seeds = _seeds(spark, sf_dir, 100)
+    return calibrators.offline(rows, "stochastic", seeds, q=0.05, window=500, rate=0.1)
 
 
 @query("ewma", f"""WITH RECURSIVE {_S}, e AS (SELECT stream_id, t, value, value AS tau FROM s WHERE t = 0 UNION ALL SELECT s.stream_id, s.t, s.value, 0.98 * e.tau + 0.02 * s.value FROM e JOIN s ON s.stream_id = e.stream_id AND s.t = e.t + 1) SELECT stream_id, t, round(tau, 6) AS tau FROM e""")
 def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrators.offline(_by_value(spark, sf_dir), "ewma", alpha=0.02).select("stream_id", "t", "tau")
+    return calibrators.ewma(_by_value(spark, sf_dir))
 
 
 # -- flagship
 
-_SPLIT: Callable[[str], Column] = lambda n: F.col("t") < F.floor(0.65 * F.col(n))
-
-
 @query("alarm_report", f"""WITH {_S}, n AS (SELECT stream_id, count(*) AS n FROM s GROUP BY 1), q AS (SELECT stream_id, quantile_cont(value, 0.5) AS m, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 1e-6) AS iqr FROM s JOIN n USING (stream_id) WHERE t < floor(0.65 * n) GROUP BY 1),
 z AS (SELECT l.stream_id, t, label, n, least(greatest((value - m) / iqr, 0), 20) AS z FROM l JOIN q USING (stream_id) JOIN n USING (stream_id)), k AS (SELECT *, sum(z) {_frame(6, '5 FOLLOWING')} / 12 AS score FROM z),
 u AS (SELECT stream_id, quantile_cont(score, 0.995) AS tau FROM k WHERE t < floor(0.65 * n) GROUP BY 1), a AS (SELECT k.*, tau, CASE WHEN score > tau THEN 1 ELSE 0 END AS alarm FROM k JOIN u USING (stream_id) WHERE t >= floor(0.65 * n)){_islands('a', 'alarm', 'g')},

@@ -5,6 +5,7 @@ Every function takes (stream_id, score) rows and gives one row a stream.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +53,12 @@ def p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def otsu(scores: DataFrame) -> DataFrame:
-    """The histogram edge of largest between-class variance."""
+    """The bin centre of largest between-class variance. A constant stream has
+    bins from half below its value to half above; empty bins divide nothing, so
+    the first centre wins."""
     s = scores.groupBy("stream_id").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
-    s = s.withColumn("bins", F.least(F.lit(256), F.greatest(F.lit(32), F.floor(F.sqrt("n")))).cast("int")).where("high > low")
+    s = s.withColumn("bins", F.least(F.lit(256), F.greatest(F.lit(32), F.floor(F.sqrt("n")))).cast("int"))
+    every_stream, s = s, s.where("high > low")
     width = (F.col("high") - F.col("low")) / F.col("bins")
     bin_of = F.least(F.floor((F.col("score") - F.col("low")) / width), F.col("bins") - 1).cast("int")
     h = scores.join(F.broadcast(s), "stream_id").groupBy("stream_id", bin_of.alias("b")).agg(F.count("*").alias("c"), F.first("low").alias("low"), F.first(width).alias("w"), F.first("n").alias("n"))
@@ -64,35 +68,88 @@ def otsu(scores: DataFrame) -> DataFrame:
     h = h.withColumns({"w0": F.sum("c").over(run) / F.col("n"), "m0": F.sum(F.col("c") * F.col("x")).over(run) / F.col("n"), "m": F.sum(F.col("c") * F.col("x")).over(every) / F.col("n")})
     between = F.when((F.col("w0") > 0) & (F.col("w0") < 1), (F.col("m") * F.col("w0") - F.col("m0")) ** 2 / (F.col("w0") * (1 - F.col("w0"))))
     best = h.withColumn("v", F.round(between, 9)).where("v is not null").groupBy("stream_id").agg(F.max_by(F.struct("x", "w"), F.struct("v", -F.col("b"))).alias("e"))
-    return best.select("stream_id", F.col("e.x").alias("tau"))
+    rows = every_stream.join(best, "stream_id", "left")
+    return rows.select("stream_id", F.coalesce(F.col("e.x"), F.col("low") - 0.5 + 0.5 / F.col("bins")).alias("tau"))
 
 
-def elbow(scores: DataFrame) -> DataFrame:
-    """The score farthest below the chord between the 5 % and 99.5 % ranks."""
+def elbow(scores: DataFrame, direction: str = "lower") -> DataFrame:
+    """The score farthest below ("lower") or above ("upper") the chord between
+    the 5 % and 99.5 % ranks; of several the first, and on a flat curve its value."""
+    if direction not in ("lower", "upper"):
+        raise ValueError(f"unknown direction {direction!r}")
     w = Window.partitionBy("stream_id")
     r = scores.withColumns({"r": F.row_number().over(w.orderBy("score")) - 1, "n": F.count("*").over(w)})
-    r = r.withColumns({"a": F.floor(0.05 * (F.col("n") - 1)), "b": F.floor(0.995 * (F.col("n") - 1))}).where("r between a and b and b > a")
+    a, b = F.floor(0.05 * (F.col("n") - 1)), F.ceil(0.995 * (F.col("n") - 1))
+    r = r.withColumn("a", a).withColumn("b", F.least(F.greatest(F.col("a") + 2, b), F.col("n") - 1)).where("r between a and b")
     ends = r.groupBy("stream_id").agg(F.min_by("score", "r").alias("s0"), F.max_by("score", "r").alias("s1"))
-    r = r.join(ends, "stream_id").where("s1 > s0")
-    u = (F.col("r") - F.col("a")) / (F.col("b") - F.col("a"))
-    v = (F.col("score") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    return r.withColumn("d", F.round(u - v, 9)).groupBy("stream_id").agg(F.max_by("score", F.struct("d", -F.col("r"))).alias("tau"))
-
-
-def dynamic(scores: DataFrame, tau: DataFrame, width: int = 200, least: int = 20) -> DataFrame:
-    """(stream_id, t, tau): the global threshold moved and scaled by the
-    trailing median and interquartile range."""
-    b = Blocked(scores, width)
-    f = b.frame(-(width - 1))
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(f)
-    rows = b.own(b.rows.withColumns({"q": q, "k": F.count("*").over(f)}))
-    whole = scores.groupBy("stream_id").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("g"))
-    rows = rows.join(F.broadcast(whole), "stream_id").join(F.broadcast(tau), "stream_id")
-    g = lambda c, i: F.get(c, F.lit(i))
-    iqr, all_iqr = g("q", 2) - g("q", 0), F.greatest(g("g", 2) - g("g", 0), F.lit(1e-6))
-    local = g("q", 1) + (F.col("tau") - g("g", 1)) * F.least(F.greatest(iqr / all_iqr, F.lit(0.2)), F.lit(5.0))
-    moved = F.greatest(local, g("q", 1) + 0.5 * iqr)
-    return rows.select("stream_id", "t", F.when(F.col("k") >= least, moved).otherwise(F.col("tau")).alias("tau"))
+    r = r.join(ends, "stream_id")
+    u = F.try_divide(F.col("r") - F.col("a"), F.col("b") - F.col("a"))
+    v = F.try_divide(F.col("score") - F.col("s0"), F.col("s1") - F.col("s0"))
+    gap = F.when(F.col("s1") > F.col("s0"), F.round(u - v if direction == "lower" else v - u, 9)).otherwise(0.0)
+    return r.withColumn("d", gap).groupBy("stream_id").agg(F.max_by("score", F.struct("d", -F.col("r"))).alias("tau"))
+
+
+def score_floor(scores: DataFrame) -> DataFrame:
+    """The adaptive floor of each stream: its elbows and Otsu split, which of
+    them is chosen, and why there is none (then the threshold is 0).
+
+    A plateau at the maximum (0.5 % of the scores or more) is set aside where 20
+    scores remain. Streams with under 20 finite scores, a near-zero bulk or a
+    flat curve have no floor.
+    """
+    from tidemark.functions.robust import finite
+
+    s = scores.where(finite(F.col("score"))).select("stream_id", "score")
+    top = s.groupBy("stream_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    edge = F.col("top") - F.greatest(F.lit(1e-6), 1e-5 * F.greatest(F.abs("top"), F.lit(1.0)))
+    marked = s.join(top, "stream_id").withColumn("flat", F.col("score") >= edge)
+    share = marked.groupBy("stream_id", "n").agg(F.avg(F.col("flat").cast("double")).alias("plateau"), F.sum((~F.col("flat")).cast("long")).alias("below"))
+    share = share.withColumn("cut", (F.col("plateau") >= 0.005) & (F.col("below") >= 20))
+    work = marked.join(share.select("stream_id", "cut"), "stream_id").where("not (cut and flat)").select("stream_id", "score")
+    shape = work.groupBy("stream_id").agg(F.count("*").alias("effective"), F.percentile("score", 0.9).alias("p90"), F.min("score").alias("low"), F.max("score").alias("high"))
+    rows = share.join(shape, "stream_id")
+    for name, found in (("lower_elbow", elbow(work)), ("upper_elbow", elbow(work, "upper")), ("otsu", otsu(work))):
+        rows = rows.join(found.withColumnRenamed("tau", name), "stream_id")
+    low, up, split = F.col("lower_elbow"), F.col("upper_elbow"), F.col("otsu")
+    reason = (
+        F.when(F.col("n") < 20, "too_few_scores").when(F.col("effective") < 20, "too_few_non_plateau_scores").when(F.col("p90") <= 1e-8, "near_zero_score_bulk")
+        .when(F.col("high") - F.col("low") <= F.greatest(F.lit(1e-6), 1e-6 * F.greatest(F.abs("high"), F.lit(1.0))), "flat_score_distribution").otherwise("ok")
+    )
+    choice = (
+        F.when(F.col("reason") != "ok", "none").when((split >= low) & (split >= up), "otsu")
+        .when((low >= split) & (low >= up), F.when(up > split, "upper_elbow").otherwise("lower_elbow"))
+        .when((F.col("plateau") >= 0.05) & (up > split), "upper_elbow").when(split > low, "otsu").otherwise("lower_elbow")
+    )
+    rows = rows.withColumn("reason", reason).withColumn("selected", choice)
+    tau = F.when(F.col("selected") == "none", 0.0).when(F.col("selected") == "otsu", split).when(F.col("selected") == "upper_elbow", up).otherwise(low)
+    rows = rows.withColumn("tau", tau)
+    under = work.join(rows.select("stream_id", "tau"), "stream_id").groupBy("stream_id").agg((100 * F.avg((F.col("score") <= F.col("tau")).cast("double"))).alias("pct"))
+    ok = lambda c: F.when(F.col("reason") == "ok", F.col(c)).otherwise(0.0)
+    return rows.join(under, "stream_id").select("stream_id", "tau", "reason", "selected", F.col("cut").alias("plateau_adjusted"), F.col("plateau").alias("plateau_fraction"), *(ok(c).alias(c) for c in ("lower_elbow", "upper_elbow", "otsu")), ok("pct").alias("percentile"), F.when(F.col("n") < 20, F.col("n")).otherwise(F.col("effective")).alias("effective"))
+
+
+def dynamic(scores: DataFrame, tau: DataFrame, calibration: DataFrame, width: int = 200, least: int = 20) -> DataFrame:
+    """(stream_id, t, tau): the calibrated threshold moved and scaled by the
+    trailing median and interquartile range of the scores, against those of the
+    calibration scores; with fewer than ``least`` scores the latter stand in.
+    It stays half a local range above the local median throughout."""
+    whole = calibration.groupBy("stream_id").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("g"))
+    b = Blocked(scores.select("stream_id", "t", "score"), width)
+
+    def quartiles(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        rolling = rows["score"].rolling(width, min_periods=least)
+        out = rows.assign(q25=rolling.quantile(0.25), q50=rolling.median(), q75=rolling.quantile(0.75))
+        return out.loc[out["_block"] == out["_own"], ["stream_id", "t", "q25", "q50", "q75"]]
+
+    local = b.rows.groupBy("stream_id", "_block").applyInPandas(quartiles, "stream_id string, t long, q25 double, q50 double, q75 double")
+    rows = local.join(whole, "stream_id").join(tau, "stream_id")
+    med, all_iqr = F.get("g", F.lit(1)), F.greatest(F.get("g", F.lit(2)) - F.get("g", F.lit(0)), F.lit(1e-4))
+    here = lambda c, otherwise: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), otherwise)
+    mid = here("q50", med)
+    iqr = F.greatest(here("q75", med + 0.5 * all_iqr) - here("q25", med - 0.5 * all_iqr), F.lit(1e-4))
+    moved = mid + (F.col("tau") - med) * F.least(F.greatest(iqr / all_iqr, F.lit(0.2)), F.lit(5.0))
+    return rows.select("stream_id", "t", F.greatest(moved, mid + 0.5 * iqr).alias("tau"))
 
 
 def kurtosis_adapted(kurtosis: Column, percentile: float = 98.0, risk: float = 1e-3) -> tuple[Column, Column]:

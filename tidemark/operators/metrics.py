@@ -56,16 +56,17 @@ def event_metrics(rows: DataFrame) -> DataFrame:
 
 
 def range_metrics(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """Recall mixes being hit with the share covered; precision is the share of
-    alarmed steps inside labels, averaged over segments."""
-    truth, found = segments(rows, "label"), segments(rows, "alarm")
+    """Recall mixes being hit with the share covered, averaged over labelled
+    segments; precision is the share of all alarmed steps inside labels. All
+    are 0 where a stream has no label or no alarm."""
+    truth = segments(rows, "label")
     cover = points_of(truth).join(rows, ["stream_id", "t"]).groupBy("stream_id", "segment").agg(F.avg(F.col("alarm").cast("double")).alias("share"))
     recall = cover.groupBy("stream_id").agg(F.avg(alpha * (F.col("share") > 0).cast("double") + (1 - alpha) * F.col("share")).alias("recall"))
-    right = points_of(found).join(rows, ["stream_id", "t"]).groupBy("stream_id", "segment").agg(F.avg(F.col("label").cast("double")).alias("share"))
-    precision = right.groupBy("stream_id").agg(F.avg("share").alias("precision"))
-    both = rows.select("stream_id").distinct().join(recall, "stream_id", "left").join(precision, "stream_id", "left")
-    ok = F.col("recall").isNotNull() & F.col("precision").isNotNull()
-    p, r = F.when(ok, F.col("precision")).otherwise(0.0), F.when(ok, F.col("recall")).otherwise(0.0)
+    alarmed = F.sum(F.col("alarm").cast("long"))
+    right = rows.groupBy("stream_id").agg(alarmed.alias("alarmed"), F.sum((F.col("alarm") * F.col("label")).cast("long")).alias("right"))
+    both = right.join(recall, "stream_id", "left")
+    ok = F.col("recall").isNotNull() & (F.col("alarmed") > 0)
+    p, r = F.when(ok, F.try_divide("right", "alarmed")).otherwise(0.0), F.when(ok, F.col("recall")).otherwise(0.0)
     return both.select("stream_id", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 

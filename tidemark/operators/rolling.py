@@ -118,12 +118,13 @@ def smooth_centred(series: DataFrame, width: int = 12) -> DataFrame:
 
 
 def smooth_dynamic(series: DataFrame, short: int = 50, long: int = 200) -> DataFrame:
-    """A blend of a short and a long centred average by the smoothed label."""
+    """A blend of two centred averages: the long one counts for as much as the
+    label's short average says, the short one for the rest."""
     b = Blocked(series, long, long)
     frame = lambda w: b.frame(-(w // 2), w - 1 - w // 2)
     share = F.least(F.greatest(F.sum(F.col("label").cast("double")).over(frame(short)) / short, F.lit(0.0)), F.lit(1.0))
     a, c = F.sum("value").over(frame(short)) / short, F.sum("value").over(frame(long)) / long
-    return _keep(b, b.rows, {"smoothed": share * a + (1 - share) * c})
+    return _keep(b, b.rows, {"smoothed": (1 - share) * a + share * c})
 
 
 def persistence(series: DataFrame, flag: Column, needed: int = 40, width: int = 64) -> DataFrame:
@@ -132,10 +133,41 @@ def persistence(series: DataFrame, flag: Column, needed: int = 40, width: int =
     return _keep(b, b.rows, {"gate": (F.sum(flag.cast("long")).over(b.frame(-(width - 1))) >= needed).cast("int")})
 
 
-def collapse_branch(series: DataFrame, width: int = 64) -> DataFrame:
-    """Log drop of the rolling deviation and lag-1 coefficient of the frame."""
-    b = Blocked(series, 2 * width)
+def collapse_reference(train: DataFrame, calibration: DataFrame, width: int = 64) -> DataFrame:
+    """(stream_id, mu, sd, phi, level): median and scaled deviation of the
+    calibration part, lag-1 coefficient of the training part around that median,
+    and the median deviation of the calibration part's whole frames."""
+    mu = calibration.groupBy("stream_id").agg(F.percentile("value", 0.5).alias("mu"))
+    apart = calibration.join(mu, "stream_id").groupBy("stream_id").agg(F.percentile(F.abs(F.col("value") - F.col("mu")), 0.5).alias("mad"))
+    b = Blocked(calibration, width)
     f = b.frame(-(width - 1))
-    rows = b.rows.withColumns({"_p": b.lag("value")})
-    phi = F.sum(F.col("value") * F.col("_p")).over(f) / (F.sum(F.col("_p") * F.col("_p")).over(f) + 1e-12)
-    return _keep(b, rows, {"log_std": F.log(F.stddev_pop("value").over(f) + 1e-6), "phi": F.least(F.greatest(F.coalesce(phi, F.lit(0.0)), F.lit(-0.98)), F.lit(0.98))})
+    frames = b.own(b.rows.withColumns({"_sd": F.stddev_pop("value").over(f), "_n": F.count("*").over(f)})).where(F.col("_n") == width)
+    level = frames.groupBy("stream_id").agg(F.greatest(F.percentile("_sd", 0.5), F.lit(0.05)).alias("level"))
+    t = Blocked(train.join(mu, "stream_id").withColumn("x", F.col("value") - F.col("mu")), 1)
+    steps = t.own(t.rows.withColumn("_p", t.lag("x"))).where("_p is not null")
+    phi = F.sum(F.col("x") * F.col("_p")) / F.greatest(F.sum(F.col("_p") * F.col("_p")), F.lit(1e-6))
+    phi = steps.groupBy("stream_id").agg(F.least(F.greatest(phi, F.lit(-0.98)), F.lit(0.98)).alias("phi"))
+    rows = mu.join(apart, "stream_id").join(phi, "stream_id").join(level, "stream_id")
+    return rows.select("stream_id", "mu", F.greatest(1.4826 * F.col("mad"), F.lit(0.2)).alias("sd"), "phi", "level")
+
+
+def collapse_branch(series: DataFrame, reference: DataFrame, width: int = 64) -> DataFrame:
+    """Per step of a test part: log10 drop of the rolling deviation below the
+    reference, root mean square of the lag-1 innovations, and excursion of the
+    rolling mean. Steps before the first whole frame have its values; a stream
+    of ``width`` steps or fewer has zeros. The part may begin at any t."""
+    whole = series.groupBy("stream_id").agg(F.min("t").alias("_t0"), F.count("*").alias("_len"))
+    rows = series.join(whole, "stream_id").join(reference, "stream_id")
+    b = Blocked(rows.withColumn("_x", F.col("value") - F.col("mu")), 2 * width, width)
+    before = F.when(F.col("t") > F.col("_t0"), b.lag("_x")).otherwise(0.0)
+    r = b.rows.withColumn("_e", ((F.col("_x") - F.col("phi") * before) / F.col("sd")) ** 2)
+    f = b.frame(-(width - 1))
+    full = F.col("t") - F.col("_t0") >= width - 1
+    drop = F.greatest(F.lit(0.0), -F.log10((F.stddev_pop("value").over(f) + 1e-6) / F.col("level")))
+    r = r.withColumns({
+        "_drop": F.when(full, drop), "_rms": F.when(full, F.sqrt(F.avg("_e").over(f))),
+        "_bias": F.when(full, F.abs(F.avg("_x").over(f)) / F.col("sd")),
+    })
+    ahead = b.frame(0, width - 1)
+    padded = {name: F.when(F.col("_len") <= width, 0.0).otherwise(F.first(f"_{k}", ignorenulls=True).over(ahead)) for name, k in (("var_drop", "drop"), ("innovation_rms", "rms"), ("bias_z", "bias"))}
+    return _keep(b, r, padded)
