@@ -279,7 +279,9 @@ def test_simhash(documents, texts, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_every_near_pair(spark):
+@pytest.mark.parametrize("cell", [64, 2, 0])
+def test_simhash_links_every_near_pair(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
     random.seed(9)
     prints = {}
     for _ in range(40):
@@ -289,10 +291,20 @@ def test_simhash_links_every_near_pair(spark):
             prints[len(prints)] = base
     signed = [(d, p - (1 << 64) if p >> 63 else p) for d, p in prints.items()]
     rows = spark.createDataFrame(signed, "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in rows.join(simhash.classes(rows), "fp").collect()}
+    got = {r.doc_id: r.component_id for r in rows.join(simhash.component_ids(rows), "fp").collect()}
     assert got == components_of(prints)
 
 
+def test_simhash_without_ids_and_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, 0), (None, 3), (3, 15), (None, 15 << 40)], "doc_id long, fp long")
+    assert {r.fp: r.component_id for r in simhash.component_ids(rows).collect()} == {0: 1, 3: 1, 15: 1, 15 << 40: None}
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey"]
+    docs = [(5, texts[0], 1), (5, texts[1], 2), (6, texts[2], 3), (7, texts[2], 4), (7, texts[2], 5), (None, texts[2], 6), (None, "a b c d e f g", 7), (None, "a b c d e f g", 8)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_id"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, "a b c d e f g")], key=str)
+
+
 # -- repeated strings and passages
 
 

@@ -8,23 +8,24 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
+#: Set where a local session names no checkpoint folder (tests, notebooks).
 _LOCAL_FOLDER = "/tmp/tidemark-shared"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none, a folder for local runs is set and returned.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
+    the one set on the context. A session on one machine gets a folder of its
+    own where it has none; on a cluster that is an error, as a machine's folder
+    loses what executors on others write."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        spark.sparkContext.setCheckpointDir(_LOCAL_FOLDER)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(_LOCAL_FOLDER)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
