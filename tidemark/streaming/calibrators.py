@@ -236,12 +236,10 @@ def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which must be set: a folder
-    of this machine alone would lose what executors elsewhere write."""
+    """A fresh path below ``spark.checkpoint.dir``. A session on one machine may
+    do without the setting; on a cluster a machine's own folder would lose what
+    executors elsewhere write."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_dir.isDefined():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = set_dir.get()
-    return f"{folder}/streams/{name}-{uuid.uuid4().hex}"
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder or '/tmp/tidemark-streams'}/streams/{name}-{uuid.uuid4().hex}"
