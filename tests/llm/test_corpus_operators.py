@@ -379,6 +379,30 @@ def test_substring_dedup(spark, odd, empty, monkeypatch):
     assert substring_dedup.passages(empty).count() == 0
 
 
+def test_passages_whose_seeds_occur_elsewhere(spark):
+    """A frequent line owns the seeds of a passage, another document has it whole."""
+    fresh = (f"u{i}" for i in range(100_000))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    shared, other = some(80), some(120)
+    rows = [some(9) + shared[:42] + some(9), some(9) + shared[34:] + some(9), some(20) + shared + some(7), some(3) + shared + some(12)]
+    rows += [some(5) + other[k * 10 : k * 10 + 24] + some(5) for k in range(10)] + [some(30) + other + some(4), some(8) + other + some(30)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
+    found = {(r.doc_id, r.source_id, r.start_word, r.n_words, r.n_edits) for r in substring_dedup.passages(docs).collect()}
+    assert found == {(3, 2, 3, 80, 0), (15, 14, 8, 120, 0)}
+
+
+def test_fragments_cover_what_their_seeds_cover():
+    random.seed(7)
+    for _ in range(60):
+        seeds = [(i := random.randint(0, 80), i + random.choice([0, 3]), random.choice([5, 14, 40])) for _ in range(random.randint(1, 25))]
+        got = substring_dedup.fragments(*(np.array(c) for c in zip(*seeds, strict=True)))
+        for shift in (0, 3):
+            cover = {k for i, j, n in seeds if j - i == shift for k in range(i, i + n)}
+            parts = sorted((i, n) for i, j, n in got.tolist() if j - i == shift)
+            assert {k for i, n in parts for k in range(i, i + n)} == cover and sum(n for _, n in parts) == len(cover)
+            assert all(i + n < a for (i, n), (a, _) in zip(parts, parts[1:], strict=False))
+
+
 def test_fenwick_chains_match_quadratic():
     random.seed(6)
     for _ in range(40):
