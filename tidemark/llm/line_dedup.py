@@ -39,7 +39,8 @@ PLACE = ("d", "e")
 _TEXT_BITS = 24
 #: Bits of a prefix word that are compared before the sets themselves are.
 _WORD_BITS = 40
-#: Bits of the map of texts that are read again: 4 MB, whatever the input.
+#: Bits of the maps of texts and lines that are read again: 4 MB each, whatever
+#: the input.
 _MARKS = 1 << 25
 
 
@@ -188,26 +189,29 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
 
 
-def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts whose (d, h) may be among ``wanted``, by a bitmap of fixed
-    size: what is not needed stays out of the shuffle behind it. A bit that
-    several share lets a text through in vain, never the other way about."""
-    place = F.pmod(F.xxhash64("d", "h"), F.lit(_MARKS)) + 1
+def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys may be among those of ``wanted``, by a bitmap of
+    fixed size: what is not needed stays out of the shuffle behind it. A bit that
+    several share lets a row through in vain, never the other way about."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(_MARKS)) + 1
     maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return texts.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "part").where(found).select(*texts.columns)
+    return rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "part").where(found).select(*rows.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The places of ``pairs`` whose word sets are alike, by counting shared words."""
+    """The places of ``pairs`` whose word sets are alike, by counting shared
+    words. Only the lines of these places are shuffled, not their texts."""
     places = pairs.select(*PLACE).union(pairs.select(*(f"{c}_e" for c in PLACE))).distinct()
     h = F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))
-    wanted = places.groupBy("d", h.alias("h")).agg(F.collect_list("e").alias("wanted"))
-    lines = _marked(texts, wanted).join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("e"))
-    line = F.get("lines", F.shiftright("e", _TEXT_BITS).cast("int"))
-    sets = written(lines.select("d", "e", word_hashes(line).alias("keys")), "line-sets")
+    some = _marked(texts, places.select("d", h.alias("h")), "d", "h")
+    lines = some.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    e = F.shiftleft(F.col("line").cast("long"), _TEXT_BITS).bitwiseOR(F.col("h"))
+    lines = _marked(lines.select("d", e.alias("e"), "t"), places, *PLACE)
+    lines = lines.join(places, list(PLACE), "left_semi").dropDuplicates(list(PLACE))
+    sets = written(lines.select("d", "e", word_hashes(F.col("t")).alias("keys")), "line-sets")
     rows = pairs.join(sets, list(PLACE)).join(_named(sets, "_e", *PLACE, "keys"), [f"{c}_e" for c in PLACE])
     shared = F.size(F.array_intersect("keys", "keys_e"))
     return rows.where((OF + ALIKE) * shared >= ALIKE * (F.size("keys") + F.size("keys_e"))).select(*PLACE).distinct()
