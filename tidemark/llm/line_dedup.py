@@ -189,16 +189,31 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose keys may be among those of ``wanted``, by a bitmap of
-    fixed size: what is not needed stays out of the shuffle behind it. A bit that
-    several share lets a row through in vain, never the other way about."""
+def _in_map(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows with ``marked``: whether their keys may be among those of
+    ``wanted``, by a bitmap of fixed size. It keeps what needs no join out of the
+    shuffle behind one. A bit that several share marks a row in vain, never the
+    other way about."""
     place = F.pmod(F.xxhash64(*keys), F.lit(_MARKS)) + 1
     maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "part").where(found).select(*rows.columns)
+    rows = rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "part", "left")
+    return rows.withColumn("marked", F.coalesce(found, F.lit(False))).drop("part", "marks")
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows marked."""
+    return _in_map(rows, wanted, *keys).where("marked").drop("marked")
+
+
+def _with_open(classes: DataFrame, matched: DataFrame) -> DataFrame:
+    """Classes with ``open``: 0 where their place is matched, else 1."""
+    seen = _in_map(classes, matched, *PLACE)
+    closed = matched.withColumn("open", F.lit(0).cast("byte"))
+    maybe = seen.where("marked").join(closed, list(PLACE), "left").withColumn("open", F.coalesce("open", F.lit(1).cast("byte")))
+    return seen.where("not marked").withColumn("open", F.lit(1).cast("byte")).unionByName(maybe).drop("marked")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -223,10 +238,9 @@ def kept_places(texts: DataFrame) -> DataFrame:
     classes = written(line_classes(texts), "line-classes").where("n > 0")
     pairs = written(earliest_pairs(_entries(classes)), "pairs")
     first = written(verified(pairs, texts), "matched")
-    unmatched = classes.join(first.withColumn("open", F.lit(0).cast("byte")), list(PLACE), "left").withColumn("open", F.coalesce("open", F.lit(1).cast("byte")))
-    pairs = written(all_pairs(_entries(unmatched)), "pairs")
+    pairs = written(all_pairs(_entries(_with_open(classes, first))), "pairs")
     rest = written(verified(pairs, texts), "matched")
-    stay = classes.select(*PLACE).join(first.union(rest), list(PLACE), "left_anti")
+    stay = _with_open(classes.select(*PLACE), first.union(rest)).where("open = 1")
     line = F.shiftright("e", _TEXT_BITS).cast("int")
     return stay.groupBy("d", F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("h")).agg(F.sort_array(F.collect_list(line)).alias("kept"))
 
