@@ -239,3 +239,43 @@ def test_collapse_streams(spark):
         f = slice(max(t, 63) - 63, max(t, 63) + 1)
         want = [max(0, -np.log10((test[f].std() + 1e-6) / level)), np.sqrt(e[f].mean()), abs(y[f].mean()) / sd]
         assert np.allclose([got[t].var_drop, got[t].innovation_rms, got[t].bias_z], want, atol=1e-7), t
+
+
+def test_hotelling_and_mewma_match_numpy(spark):
+    import numpy as np
+
+    from tidemark.operators import charts
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4)) @ rng.normal(size=(4, 4)) + 1000.0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    cal = x[:300]
+    c = cal - cal.mean(axis=0)
+    n, d = c.shape
+    cov = c.T @ c / n
+    mu = np.trace(cov) / d
+    apart = ((cov - mu * np.eye(d)) ** 2).sum() / d
+    noise = min(sum(((np.outer(v, v) - cov) ** 2).sum() for v in c) / (d * n * n), apart)
+    cov = (1 - noise / apart) * cov + noise / apart * mu * np.eye(d)
+    cov += 1e-6 * np.trace(cov) / d * np.eye(d)
+    inverse, y = np.linalg.inv(cov), x - cal.mean(axis=0)
+    calibration = rows.where("vec_id < 300")
+    found = {r["vec_id"]: r["t2"] for r in charts.hotelling(rows, calibration).collect()}
+    np.testing.assert_allclose([found[i] for i in range(700)], np.einsum("ij,jk,ik->i", y, inverse, y), rtol=1e-6)
+    z, expected = np.zeros(d), []
+    for v in y:
+        z = 0.8 * z + 0.2 * v
+        expected.append(z @ inverse @ z * 1.8 / 0.2)
+    found = {r["vec_id"]: r["t2"] for r in charts.mewma(rows, calibration, key="vec_id").collect()}
+    np.testing.assert_allclose([found[i] for i in range(700)], expected, rtol=1e-6)
+
+
+def test_splits_of_short_streams_and_unions(spark):
+    from tidemark.operators import results, splits
+
+    n = spark.createDataFrame([("a", 0), ("b", 10), ("c", 5000)], "stream_id string, n long")
+    five = {(r["stream_id"], r["part"]) for r in splits.five_blocks(n, 48, 16).collect()}
+    assert ("a", "too_short") in five and ("c", "quantile") in five and ("c", "too_short") not in five
+    assert all(0 <= r["first"] <= r["last"] for r in splits.gapped(n, 48, 16).collect())
+    a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3, 4)], "x int, z int")
+    assert sorted(tuple(r) for r in results.union_results(a, b).collect()) == [(1, 2, None), (3, None, 4)]

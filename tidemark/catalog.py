@@ -588,9 +588,9 @@ def _quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.quorum(panels.trips(d, panels.dial_limits(d)))
 
 
-@query("dial_rules", f"{_D}, y2 AS (SELECT dial, 10 * x AS x FROM z), m AS (SELECT dial, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.999) AS qq FROM y2 GROUP BY 1), a AS (SELECT dial, quantile_cont(abs(x - m), 0.5) AS d FROM y2 JOIN m USING (dial) GROUP BY 1) SELECT dial, round(greatest(qq, 4.5), 6) AS empirical, round(greatest(m + 6 * 1.4826 * d, 4.5), 6) AS robust FROM m JOIN a USING (dial)")
+@query("dial_rules", f"{_D}, y2 AS (SELECT dial, 40 * x AS x FROM z), mm AS (SELECT dial, count(*) AS n, list_sort(list(x)) AS v, {', '.join(f'quantile_cont(x, {p}) AS q{str(p)[2:]}' for p in (0.25, 0.5, 0.75, 0.9, 0.99, 0.995, 0.999))} FROM y2 GROUP BY 1), ex AS (SELECT dial, avg(x - q9) AS e FROM y2 JOIN mm USING (dial) WHERE x > q9 GROUP BY 1), lv AS (SELECT *, least(1 - 1 / (n + 1), 0.999) * (n - 1) AS h FROM mm), cc AS (SELECT *, v[CAST(floor(h) AS BIGINT) + 1] + (h - floor(h)) * (v[CAST(ceil(h) AS BIGINT) + 1] - v[CAST(floor(h) AS BIGINT) + 1]) AS c FROM lv) SELECT dial, {_r('greatest(q999 * 1.15, 4.5) AS empirical', 'greatest(q5 + 4.8 * greatest((q75 - q25) / 1.349, 1), 5) AS robust', 'greatest((0.25 * q99 + 0.35 * q995 + 0.4 * q999) * 1.18, 4.8) AS smoothed', 'greatest((q9 + 4.605 * greatest(coalesce(e, 0), 0.35)) * 1.1, 4.8) AS tail', 'greatest(c * (1.15 + 15.0 / greatest(n, 50)), 5) AS conformal')} FROM cc LEFT JOIN ex USING (dial)")
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thresholds.dial_rules(_dials(spark, sf_dir).withColumn("x", 10 * F.col("x")))
+    return thresholds.dial_rules(_dials(spark, sf_dir).withColumn("x", 40 * F.col("x")))
 
 
 @query("cusum", f"""WITH {_S}, q AS (SELECT stream_id, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1), x AS (SELECT stream_id, t, (value - m) / sd AS x FROM s JOIN q USING (stream_id)),

@@ -169,10 +169,41 @@ def gpd_quantile(u: Column, shape: Column, scale: Column, n: Column, n_u: Column
     return F.greatest(u, F.least(F.when(F.abs(shape) < 1e-5, light).otherwise(heavy), cap))
 
 
+def classic_conformal(scores: DataFrame, alpha: float) -> DataFrame:
+    """The order statistic of rank ceil((n + 1)(1 - alpha)), the last at most."""
+    w = Window.partitionBy("stream_id")
+    ranked = scores.withColumns({"r": F.row_number().over(w.orderBy("score")), "n": F.count("*").over(w)})
+    rank = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * (1.0 - alpha))))
+    return ranked.where(F.col("r") == rank).select("stream_id", F.col("score").alias("tau"))
+
+
 def dial_rules(dials: DataFrame) -> DataFrame:
-    """Per dial: the 99.9 % quantile, and median plus six scaled deviations,
-    each at least 4.5."""
-    med = dials.groupBy("dial").agg(F.percentile("x", 0.5).alias("m"), F.percentile("x", 0.999).alias("q"))
-    mad = dials.join(F.broadcast(med), "dial").groupBy("dial").agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("d"))
-    rows = med.join(mad, "dial")
-    return rows.select("dial", F.greatest("q", F.lit(4.5)).alias("empirical"), F.greatest(F.col("m") + 6 * 1.4826 * F.col("d"), F.lit(4.5)).alias("robust"))
+    """Per dial, five thresholds for robust z-scores: raised 99.9 % quantile,
+    median and interquartile range, smoothed high quantiles, exponential tail
+    above the 90 % quantile, and the conformal level by sample size."""
+    x = F.col("x")
+    points = (0.25, 0.5, 0.75, 0.9, 0.99, 0.995, 0.999)
+    size = dials.groupBy("dial").agg(F.count("*").alias("n"), F.max(x).alias("top"), F.percentile(x, F.array(*(F.lit(p) for p in points))).alias("q"))
+    q = {p: F.get("q", F.lit(i)) for i, p in enumerate(points)}
+    # the conformal level 1 - 1 / (n + 1) lies within the last gap of the order
+    # statistics; they, and the tail, are read in one more pass
+    joined = dials.join(F.broadcast(size), "dial")
+    over = F.when(x > q[0.9], x - q[0.9])
+    second = joined.groupBy("dial").agg(
+        F.first("n").alias("n"), F.first("top").alias("top"), F.first("q").alias("q"), F.coalesce(F.avg(over), F.lit(0.0)).alias("excess"),
+        F.sum((x == F.col("top")).cast("long")).alias("ties"), F.max(F.when(x < F.col("top"), x)).alias("next"),
+    )
+    below = F.when(F.col("ties") > 1, F.col("top")).otherwise(F.coalesce("next", "top"))
+    level = 1 - 1 / F.greatest(F.col("n") + 1, F.lit(2))
+    # (n - 1) level = n - 2 + 2 / (n + 1)
+    near = below + (F.col("top") - below) * (2 / (F.col("n") + 1))
+    conformal = F.when(level < 0.999, F.when(F.col("n") > 1, near).otherwise(F.col("top"))).otherwise(q[0.999])
+    at_least = lambda v, least: F.greatest(v, F.lit(least))
+    return second.select(
+        "dial",
+        at_least(q[0.999] * 1.15, 4.5).alias("empirical"),
+        at_least(q[0.5] + 4.8 * at_least((q[0.75] - q[0.25]) / 1.349, 1.0), 5.0).alias("robust"),
+        at_least((0.25 * q[0.99] + 0.35 * q[0.995] + 0.4 * q[0.999]) * 1.18, 4.8).alias("smoothed"),
+        at_least((q[0.9] + 4.605 * at_least(F.col("excess"), 0.35)) * 1.1, 4.8).alias("tail"),
+        at_least(conformal * (1.15 + 15.0 / F.greatest(F.col("n"), F.lit(50))), 5.0).alias("conformal"),
+    )

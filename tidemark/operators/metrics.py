@@ -118,3 +118,72 @@ def partial_area(points: DataFrame, low: float, high: float) -> DataFrame:
     total = part.groupBy("model").agg(F.sum("s").alias("s"), F.min("a").alias("a"), F.max("b").alias("b"))
     supported = (F.col("a") <= low) & (F.col("b") >= high)
     return total.select("model", F.when(supported, F.col("s") / (high - low)).alias("area"))
+
+
+def operating_curve(calibration: DataFrame, rows: DataFrame, rates: list[float]) -> DataFrame:
+    """(stream_id, q, fpr, point_recall, event_recall) of the thresholds that a
+    share q of the calibration scores exceeds, for each rate q.
+
+    Thresholds fall as q grows, so a step only needs the number of thresholds
+    below its score: steps, and events by their largest score, are counted by
+    that number and the counts added up, without a row per step and rate.
+    """
+    qs = sorted(rates)
+    taus = calibration.groupBy("stream_id").agg(F.percentile("score", F.array(*(F.lit(1.0 - q) for q in qs))).alias("taus"))
+    below = F.size(F.filter("taus", lambda x: x >= F.col("score")))  # the first of these alarm at no rate
+    steps = rows.join(F.broadcast(taus), "stream_id").groupBy("stream_id", below.alias("k")).agg(F.sum((F.col("label") == 0).cast("long")).alias("nominal"), F.sum((F.col("label") == 1).cast("long")).alias("faulty"))
+    peaks = points_of(segments(rows, "label")).join(rows, ["stream_id", "t"]).groupBy("stream_id", "segment").agg(F.max("score").alias("score"))
+    events = peaks.join(F.broadcast(taus), "stream_id").groupBy("stream_id", below.alias("k")).agg(F.count("*").alias("events"))
+    counts = steps.join(events, ["stream_id", "k"], "full").fillna(0, ["nominal", "faulty", "events"])
+    grid = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(qs) - 1))).alias("j"))
+    on = F.col("k") <= F.col("j")
+    share = lambda c: _ratio(F.sum(F.when(on, F.col(c)).otherwise(0)), F.sum(c))
+    out = grid.groupBy("stream_id", "j").agg(share("nominal").alias("fpr"), share("faulty").alias("point_recall"), share("events").alias("event_recall"))
+    return out.select("stream_id", F.get(F.lit(qs), F.col("j")).alias("q"), "fpr", "point_recall", "event_recall")
+
+
+def event_recall_above(rows: DataFrame, limits: DataFrame, names: list[str]) -> DataFrame:
+    """(stream_id, recall_<name>): share of labelled segments with a score above
+    each limit. ``limits``: (stream_id, name, ...)."""
+    peaks = points_of(segments(rows, "label")).join(rows, ["stream_id", "t"]).groupBy("stream_id", "segment").agg(F.max("score").alias("top"))
+    return peaks.join(limits, "stream_id").groupBy("stream_id").agg(*(F.avg((F.col("top") > F.col(n)).cast("double")).alias(f"recall_{n}") for n in names))
+
+
+def codetected(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Delays of two detectors (from ``delays``): events of each, of both, and
+    mean delays over their own events and over those that both found."""
+    both = a.select("stream_id", "segment", F.col("delay").alias("a")).join(b.select("stream_id", "segment", F.col("delay").alias("b")), ["stream_id", "segment"])
+    on = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return both.groupBy("stream_id").agg(
+        F.count("*").alias("events"), F.count("a").alias("events_a"), F.count("b").alias("events_b"), F.sum(on.cast("long")).alias("events_both"),
+        F.avg("a").alias("delay_a"), F.avg("b").alias("delay_b"), F.avg(F.when(on, F.col("a"))).alias("both_a"), F.avg(F.when(on, F.col("b"))).alias("both_b"), F.avg(F.col("a") - F.col("b")).alias("difference"),
+    )
+
+
+def alarm_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(stream_id, both, either, jaccard) of two alarm columns; 0 without alarms."""
+    x, y = F.col(a) == 1, F.col(b) == 1
+    s = rows.groupBy("stream_id").agg(F.sum((x & y).cast("long")).alias("both"), F.sum((x | y).cast("long")).alias("either"))
+    return s.select("*", _ratio(F.col("both"), F.col("either")).alias("jaccard"))
+
+
+def pooled(counts: DataFrame) -> DataFrame:
+    """One row: F1 of the counts of all streams together, and the mean of the
+    streams' own. ``counts``: as from ``confusion``."""
+    t = counts.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.avg("f1").alias("channel_macro"))
+    return t.select(_ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("pooled_micro"), "channel_macro")
+
+
+def crossfit(nominal: DataFrame, rows: DataFrame, p: float, gap: int) -> DataFrame:
+    """Alarm rates by mode: thresholds learned on either half of the nominal
+    scores (``gap`` steps between them), held against the other half and used on
+    ``rows`` singly, both agreeing (and), or either (or)."""
+    n = nominal.groupBy("stream_id").agg(F.floor(F.count("*") / 2).alias("half"))
+    s = nominal.join(F.broadcast(n), "stream_id")
+    early, late = F.col("t") < F.col("half"), F.col("t") >= F.col("half") + gap
+    taus = s.groupBy("stream_id").agg(F.percentile(F.when(early, F.col("score")), p).alias("a"), F.percentile(F.when(late, F.col("score")), p).alias("b"))
+    rate = lambda c: F.avg(c.cast("double"))
+    above = lambda tau: F.col("score") > F.col(tau)
+    held = s.join(F.broadcast(taus), "stream_id").groupBy("stream_id").agg(rate(F.when(late, above("a"))).alias("hold_forward"), rate(F.when(early, above("b"))).alias("hold_reverse"))
+    used = rows.join(F.broadcast(taus), "stream_id").groupBy("stream_id").agg(rate(above("a")).alias("forward"), rate(above("b")).alias("reverse"), rate(above("a") & above("b")).alias("consensus"), rate(above("a") | above("b")).alias("either"))
+    return held.join(used, "stream_id")

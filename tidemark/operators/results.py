@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.splits import drawn
+
 
 def macro(rows: DataFrame, value: str) -> DataFrame:
     """Per model: mean over streams of seed means, mean over datasets of
@@ -84,3 +88,46 @@ def manifest(series: DataFrame, reference: DataFrame) -> DataFrame:
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work whose keys have no result yet."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def union_results(*tables: DataFrame) -> DataFrame:
+    """All rows; columns that a table lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def paired(rows: DataFrame, keys: list[str], value: str, a: str, b: str) -> DataFrame:
+    """keys, a, b, difference: the cells that both models have (means of each)."""
+    cell = rows.where(F.col("model").isin(a, b)).groupBy(*keys).agg(F.avg(F.when(F.col("model") == a, F.col(value))).alias("a"), F.avg(F.when(F.col("model") == b, F.col(value))).alias("b"))
+    return cell.dropna(subset=["a", "b"]).withColumn("difference", F.col("a") - F.col("b"))
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """One row: number of pairs, mean and median difference, wins and losses."""
+    d = F.col("difference")
+    return pairs.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"), F.sum((d > 0).cast("long")).alias("wins"), F.sum((d < 0).cast("long")).alias("losses"))
+
+
+def clustered_bootstrap(pairs: DataFrame, cluster: str, draws: int = 500, seed: str = "0") -> DataFrame:
+    """(n, mean, low, high): the mean difference with its 2.5 and 97.5 % points
+    when whole clusters are drawn with replacement; with a cluster for each pair
+    it is the plain bootstrap. Clusters enter as sums and counts."""
+    by = pairs.groupBy(cluster).agg(F.sum("difference").alias("s"), F.count("*").alias("c"))
+    k = F.count("*").over(Window.partitionBy())  # one row a cluster
+    numbered = by.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("j"), "s", "c", k.alias("k"))
+    picks = numbered.select("j", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+    picks = picks.select("r", drawn(F.col("k"), seed, F.col("r"), F.col("j")).alias("j"))
+    means = picks.join(F.broadcast(numbered.select("j", "s", "c")), "j").groupBy("r").agg((F.sum("s") / F.sum("c")).alias("m"))
+    total = by.agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
+    return total.join(F.broadcast(means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))), how="cross")  # one row each
+
+
+def pivot(rows: DataFrame, by: str, across: str, value: str, columns: list[str]) -> DataFrame:
+    """by, then <column>_mean and <column>_median of each value of ``across``."""
+    return rows.groupBy(by).pivot(across, columns).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))
+
+
+def rate_tail(rows: DataFrame, by: str, rate: str) -> DataFrame:
+    """Mean, median, 90 and 95 % points of a rate, and shares up to 1, 2 and 5 %."""
+    x = F.col(rate)
+    s = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95)))).alias("q"), *(F.avg((x <= k / 100).cast("double")).alias(f"share_{k}") for k in (1, 2, 5)))
+    return s.select(by, "n", "mean", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "p90", "p95"))), "share_1", "share_2", "share_5")
