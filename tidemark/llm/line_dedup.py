@@ -68,8 +68,8 @@ def _document() -> tuple[Column, Column]:
 
 def rarity_ranks(texts: DataFrame) -> list[int]:
     """For each of the 65,536 hash buckets, its rank from rare to frequent."""
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("t"))
-    words = lines.select(F.explode(_split_words(F.col("t"))).alias("w")).where("w <> ''")
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    words = texts.select(F.explode(_split_words(flat)).alias("w")).where("w <> ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
     size = dict.fromkeys(range(_BUCKETS), 0) | {r["bucket"]: r["count"] for r in counts}
     ranks = [0] * _BUCKETS
