@@ -522,4 +522,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     numbers = {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
