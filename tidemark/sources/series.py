@@ -28,6 +28,15 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(events, "stream_id", "ts", "event_id").select("stream_id", "t", "value", (F.pmod("t", F.lit(400)).between(300, 329)).cast("int").alias("label"))
 
 
+def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of ``event_series`` with three channels, (stream_id, t, x):
+    value, the property k, and the hour of the day."""
+    hour = F.hour("ts") + F.minute("ts") / 60
+    x = F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double"), hour.cast("double"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stream_id"), "ts", "event_id", x.alias("x"))
+    return numbered(events, "stream_id", "ts", "event_id").select("stream_id", "t", "x")
+
+
 def daily_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense three-channel series of line items: t is the day."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
