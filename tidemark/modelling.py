@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import _S, C, S, STEP, _by_value, _r, query
+from tidemark.catalog import C, S, STEP, _r, query
 from tidemark.functions import ranks, tail_calibrator
 from tidemark.operators import forest, mapping, subspaces
 from tidemark.plans.steps import written
-from tidemark.sources.series import event_channels
+from tidemark.sources.series import document_channels, document_series
 from tidemark.streaming import rolling_tail
 
 W, CHANNELS, SECTIONS = C + S, 3, 4
@@ -23,37 +23,31 @@ _POINTS = (0.0, 0.5, 0.9, 0.98, 0.999, 1.0)
 # -- ranks and tails
 
 
-@query("exact_percentiles", f"WITH {_S} " + " UNION ALL ".join(f"SELECT stream_id, CAST({p} AS DOUBLE) AS p, {_r(f'quantile_cont(value, {p}) AS value')} FROM s GROUP BY 1" for p in _POINTS))
+_LENGTHS = "WITH s AS (SELECT coalesce(source, '') AS stream_id, CAST(n_chars AS DOUBLE) AS value FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL) "
+
+
+@query("exact_percentiles", _LENGTHS + " UNION ALL ".join(f"SELECT stream_id, CAST({p} AS DOUBLE) AS p, {_r(f'quantile_cont(value, {p}) AS value')} FROM s GROUP BY 1" for p in _POINTS))
 def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _by_value(spark, sf_dir)
+    scores = document_series(spark, sf_dir, "source")
     wanted = scores.select("stream_id").distinct().withColumn("p", F.explode(F.array(*map(F.lit, _POINTS))))
     return ranks.percentiles(scores, wanted)
 
 
 @query("tail_calibrator")
 def _tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tail_calibrator.calibrate(_by_value(spark, sf_dir))
+    return tail_calibrator.calibrate(document_series(spark, sf_dir, "source"))
 
 
 @query("tail_probability")
 def _probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _by_value(spark, sf_dir).select("stream_id", "t", "score")
+    scores = document_series(spark, sf_dir, "source")
     fitted = written(tail_calibrator.calibrate(scores, percentile=95.0), "tail-fit")
     return tail_calibrator.tail_probability(scores, fitted)
 
 
-def _rolling(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return rolling_tail.follow_table(_by_value(spark, sf_dir), mode=mode, window=1000, step=100, gate=1.5, floor=1e-6)
-
-
-@query("rolling_tail_none")
-def _rolling_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolling(spark, sf_dir, "none")
-
-
-@query("rolling_tail_filter")
-def _rolling_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolling(spark, sf_dir, "filter")
+@query("rolling_tail")
+def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_tail.follow_table(document_series(spark, sf_dir), mode="filter", window=1000, step=100, gate=1.5, floor=1e-6)
 
 
 # -- windows over all channels
@@ -61,7 +55,7 @@ def _rolling_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training windows (within the first 65 % of a stream) and all of them."""
-    series = event_channels(spark, sf_dir)
+    series = written(document_channels(spark, sf_dir), "channels")
     every = written(subspaces.windows(series, W, STEP), "windows")
     inside = every.join(mapping.lengths(series), "stream_id").where(F.col("i") * STEP + W <= F.floor(0.65 * F.col("n")))
     return inside.select("stream_id", "i", "x"), every
@@ -106,7 +100,6 @@ def _stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("robust_pca")
 def _robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
-    rows, steps = subspaces.robust_pca(vectors)
+    rows, steps = subspaces.robust_pca(_windows(spark, sf_dir)[1])
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v))
-    return rows.select("id", size("low").alias("low_norm"), size("sparse").alias("sparse_norm"), F.size(F.filter("sparse", lambda v: v != 0)).alias("outliers"), F.lit(steps).alias("steps"))
+    return rows.select("stream_id", "i", size("low").alias("low_norm"), size("sparse").alias("sparse_norm"), F.size(F.filter("sparse", lambda v: v != 0)).alias("outliers"), F.lit(steps).alias("steps"))

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidemark.operators.charts import cleaned
 from tidemark.plans.blocks import Blocked
@@ -293,12 +294,9 @@ def stabilised(rows: DataFrame, reference: Column) -> DataFrame:
 
 # -- robust subspaces
 
-_STATE = "id long, x array<double>, l array<double>, y array<double>"
-
-
 def robust_pca(vectors: DataFrame, weight: float | None = None, most: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, int]:
-    """(id, low, sparse) with low + sparse = x up to the tolerance, for vectors
-    (id, x), and how many steps it took: a matrix of low rank and one of few large
+    """Vectors with low and sparse for x, which they add up to within the
+    tolerance (other columns are kept), and how many steps it took: a matrix of low rank and one of few large
     entries, by alternating soft thresholds under a growing penalty.
 
     Singular values come from the d x d Gram matrix, which is summed where rows
@@ -307,11 +305,12 @@ def robust_pca(vectors: DataFrame, weight: float | None = None, most: int = 50,
     from tidemark.plans.steps import Steps
 
     steps = Steps(vectors.sparkSession, "robust-pca")
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    keys = [c for c in vectors.columns if c != "x"]
+    rows = vectors.select(*keys, F.col("x").cast("array<double>").alias("x"))
     n, d, gram, largest, total = _gram(rows, None)
     if not n or total == 0:
         zero = F.transform("x", lambda v: v * 0)
-        return rows.select("id", zero.alias("low"), zero.alias("sparse")), 0
+        return rows.select(*keys, zero.alias("low"), zero.alias("sparse")), 0
     two = float(np.sqrt(max(np.linalg.eigvalsh(gram)[-1], 0)))
     weight = 1 / np.sqrt(max(n, d)) if weight is None else weight
     dual = max(two, largest / weight)
@@ -322,12 +321,12 @@ def robust_pca(vectors: DataFrame, weight: float | None = None, most: int = 50,
         values, v = np.linalg.eigh(_gram(now, (weight, mu))[2])
         s = np.sqrt(np.maximum(values, 0))
         keep = np.maximum(s - 1 / mu, 0) / np.where(s > 0, s, 1)
-        now = steps.written(_stepped(now, weight, mu, (v * keep) @ v.T))
+        now = steps.written(_stepped(now, keys, weight, mu, (v * keep) @ v.T))
         mu = min(mu * 1.5, bound)
         left = now.agg(F.sum(F.col("left"))).first()[0]
         if np.sqrt(left) / (np.sqrt(total) + 1e-12) < tolerance:
             break
-    return now.select("id", F.col("l").alias("low"), F.col("sparse")), done
+    return now.select(*keys, F.col("l").alias("low"), "sparse"), done
 
 
 def _soft(x: np.ndarray, level: float) -> np.ndarray:
@@ -362,7 +361,7 @@ def _gram(rows: DataFrame, step: tuple[float, float] | None) -> tuple[int, int,
     return int(cells["n"].sum()), d, gram, float(cells["top"].max()), float(np.trace(gram))
 
 
-def _stepped(rows: DataFrame, weight: float, mu: float, project: np.ndarray) -> DataFrame:
+def _stepped(rows: DataFrame, keys: list[str], weight: float, mu: float, project: np.ndarray) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -370,6 +369,7 @@ def _stepped(rows: DataFrame, weight: float, mu: float, project: np.ndarray) ->
                 sparse = _soft(x - l + y / mu, weight / mu)
                 low = (x - sparse + y / mu) @ project
                 z = x - low - sparse
-                yield pd.DataFrame({"id": batch["id"], "x": list(x), "l": list(low), "y": list(y + mu * z), "sparse": list(sparse), "left": (z * z).sum(axis=1)})
+                yield batch[keys].assign(x=list(x), l=list(low), y=list(y + mu * z), sparse=list(sparse), left=(z * z).sum(axis=1))
 
-    return rows.select("id", "x", "l", "y").mapInPandas(run, _STATE + ", sparse array<double>, left double")
+    known = rows.select(*keys, "x", "l", "y")
+    return known.mapInPandas(run, StructType([*known.schema.fields, StructField("sparse", ArrayType(DoubleType())), StructField("left", DoubleType())]))

@@ -28,13 +28,39 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(events, "stream_id", "ts", "event_id").select("stream_id", "t", "value", (F.pmod("t", F.lit(400)).between(300, 329)).cast("int").alias("label"))
 
 
-def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streams of ``event_series`` with three channels, (stream_id, t, x):
-    value, the property k, and the hour of the day."""
-    hour = F.hour("ts") + F.minute("ts") / 60
-    x = F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double"), hour.cast("double"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stream_id"), "ts", "event_id", x.alias("x"))
-    return numbered(events, "stream_id", "ts", "event_id").select("stream_id", "t", "x")
+#: Identifiers that are put in order together.
+_IDS = 1 << 16
+
+
+def numbered_by_id(rows: DataFrame, stream: str, key: str) -> DataFrame:
+    """Add ``t`` to every row, counted within ``stream`` by a whole number ``key``:
+    rows are counted per range of it, and numbered within their range."""
+    ranged = rows.withColumn("_range", F.floor(F.col(key) / _IDS))
+    before = Window.partitionBy(stream).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(stream, "_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(stream, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(stream, "_range").orderBy(key)) - 1
+    return ranged.withColumn("_inside", inside).join(offsets, [stream, "_range"]).withColumn("t", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def document_series(spark: SparkSession, sf_dir: str, stream: str = "lang") -> DataFrame:
+    """The lengths of documents as scores, in order of doc_id: one stream for each
+    language or source ('' where there is none)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and n_chars is not null")
+    rows = docs.select(F.coalesce(F.col(stream), F.lit("")).alias("stream_id"), "doc_id", F.col("n_chars").cast("double").alias("score"))
+    return numbered_by_id(rows, "stream_id", "doc_id").select("stream_id", "t", "score")
+
+
+def document_channels(spark: SparkSession, sf_dir: str, stream: str = "lang") -> DataFrame:
+    """The same streams with three channels, (stream_id, t, x): logarithms of
+    characters and of lines, and the share of blanks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    count = lambda c: n - F.length(F.replace(text, F.lit(c), F.lit("")))
+    x = F.array(F.log1p(n), F.log1p(count("\n")), count(" ") / F.greatest(n, F.lit(1)))
+    rows = docs.select(F.coalesce(F.col(stream), F.lit("")).alias("stream_id"), "doc_id", x.alias("x"))
+    return numbered_by_id(rows, "stream_id", "doc_id").select("stream_id", "t", "x")
 
 
 def daily_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
