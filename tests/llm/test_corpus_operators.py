@@ -486,6 +486,34 @@ def test_language(spark, sf_dir, odd, empty):
     assert language_id.learn(empty) == [] and language_id.identify(odd, []).where("lang_pred <> 'und'").count() == 0
 
 
+def _parsed(text: str, sample: str) -> int:
+    """Phrases of ``text``: longest matches with ``sample``, a strange letter alone."""
+    count, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in sample:
+            end += 1
+        at, count = max(end - 1, at + 1), count + 1
+    return count
+
+
+@pytest.mark.parametrize("letters", ["abcde", "abcdefgh", "abcdexyz "], ids=["known", "strange to both", "strange and blanks"])
+def test_phrases_are_those_of_a_naive_parse(letters):
+    import pyarrow as pa
+
+    random.seed(12)
+    samples = (("p", "".join(random.choice("abcde") for _ in range(300))), ("q", "".join(random.choice("abcdf") for _ in range(400))))
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(1, 1500))) for _ in range(60)] + ["z", "zz", "zaz"]
+    weights = [np.log2(len(s) + 2) for _, s in samples]
+    plain = [re.sub(" +", " ", t) for t in texts]
+    stretch = language_id.STRETCH
+    bits = np.array([[w * sum(_parsed(t[k : k + stretch], s) for k in range(0, len(t), stretch)) for (_, s), w in zip(samples, weights, strict=True)] for t in plain])
+    names, score = language_id.Model(samples).predict(pa.array(texts))
+    lettered = np.array([bool(t.strip()) for t in texts])
+    assert [n for n, ok in zip(names, lettered, strict=True) if ok] == [samples[k][0] for k in bits[lettered].argmin(1)]
+    assert np.allclose(score[lettered], 1 - bits[lettered].min(1) / bits[lettered].max(1))
+
+
 def test_language_with_many_letters(spark, monkeypatch):
     random.seed(11)
     sets = {"a": range(0x4E00, 0x5400), "b": range(0x5400, 0x5A00), "c": range(0xAC00, 0xB200), "x": range(0x61, 0x7B), "y": range(0x3B1, 0x3CA)}

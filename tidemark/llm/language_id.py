@@ -2,7 +2,8 @@
 
 For each language, a bounded sample of its labelled text makes one suffix
 automaton. A text is parsed against it: the longest match with the sample is a
-phrase, and the next phrase begins where the match breaks. The fewer phrases,
+phrase, and the next phrase begins where the match breaks; a letter that the
+sample lacks is a phrase of its own. The fewer phrases,
 weighted by the logarithm of the sample's length, the closer the text is to the
 sample; the language that needs the fewest wins. Whole texts are parsed, in
 stretches of 512 characters that move through the automaton side by side.
@@ -157,12 +158,13 @@ class Model:
         for t in range(int(size.max(initial=0))):
             columns.append(symbols[start[: alive[t]] + t])
         for k, table in enumerate(self.tables):
-            state, count = table.start(np.zeros(len(start), np.int32)), np.ones(len(start), np.int32)
+            # state 0: no phrase is open, so the next letter begins one
+            state, count = table.start(np.zeros(len(start), np.int32)), np.zeros(len(start), np.int32)
             for symbol in columns:
                 n = len(symbol)
                 c = self.columns[k][symbol]
                 to = table.go(state[:n], c)
-                broke = to == 0
+                broke = (to == 0) | (state[:n] == 0)
                 count[:n] += broke
                 state[:n] = np.where(broke, table.start(c), to)
             out[:, k] = np.bincount(document, count, len(length)) * self.weights[k]
