@@ -29,7 +29,7 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Identifiers that are put in order together.
-_IDS = 1 << 16
+_IDS = 1 << 12
 
 
 def numbered_by_id(rows: DataFrame, stream: str, key: str) -> DataFrame:

@@ -311,8 +311,13 @@ class _Follower(StatefulProcessor):
         pass
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stores of many small states: their changes are committed, not their files, and
+#: no disk is set aside ahead of use.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def follow(scores: DataFrame, **options: float | str) -> DataFrame:
@@ -329,12 +334,14 @@ def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what there is, into the shared folder, and read its
     result. The file sink commits each micro-batch once."""
     path = shared_path(spark, name)
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(path)
 
 
