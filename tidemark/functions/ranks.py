@@ -77,3 +77,19 @@ def quantile(scores: DataFrame, p: float) -> DataFrame:
     """(stream_id, tau): the p-quantile of each stream."""
     wanted = scores.where("score is not null").select("stream_id").distinct().withColumn("p", F.lit(p))
     return percentiles(scores, wanted).select("stream_id", F.col("value").alias("tau"))
+
+
+def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with ``rank``, their place from 0 by ``value`` within ``keys``, and
+    ``n``, the rows there. Ranges of the sorted rows are counted and the counts
+    added up; equal rows are parted by where they came from, so a frequent value
+    is not one task either."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, value, "_from"]
+    dealt = rows.withColumn("_from", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_from")
+    dealt = written(dealt.withColumn("_m", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_m", 33)), "sorted")
+    counts = dealt.groupBy(*keys, "_task").agg(F.min("_m").alias("_first"), F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    counts = counts.select(*keys, "_task", (F.sum("_c").over(group.orderBy("_task")) - F.col("_c") - F.col("_first")).alias("_shift"), F.sum("_c").over(group).alias("n"))
+    return dealt.join(counts, [*keys, "_task"]).withColumn("rank", F.col("_m") + F.col("_shift")).drop("_m", "_task", "_shift")

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import C, S, STEP, _r, query
-from tidemark.functions import ranks, tail_calibrator
-from tidemark.operators import forest, mapping, subspaces
+from tidemark.catalog import C, S, STEP, _r, _results, query
+from tidemark.functions import quantile_estimators, ranks, tail_calibrator
+from tidemark.operators import forest, inference, mapping, results, subspaces
 from tidemark.plans.steps import written
 from tidemark.sources.series import document_channels, document_series
 from tidemark.streaming import rolling_tail
@@ -103,3 +103,59 @@ def _robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, steps = subspaces.robust_pca(_windows(spark, sf_dir)[1])
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v))
     return rows.select("stream_id", "i", size("low").alias("low_norm"), size("sparse").alias("sparse_norm"), F.size(F.filter("sparse", lambda v: v != 0)).alias("outliers"), F.lit(steps).alias("steps"))
+
+
+# -- estimators, exact distributions, lattices, coresets
+
+
+@query("quantile_harrell_davis")
+def _davis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantile_estimators.harrell_davis(document_series(spark, sf_dir, "source"), 0.98)
+
+
+@query("quantile_pareto_moments")
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantile_estimators.pareto_moments(document_series(spark, sf_dir, "source"), 0.999, 0.9)
+
+
+#: Four dials of a document, as bits.
+_DIALS = ("n_chars > 2000", "n_chars < 300", "text LIKE '%#%'", "text LIKE '%!%'")
+_FLAGS = "WITH f AS (SELECT coalesce(source, '') AS stream_id, " + " + ".join(f"CASE WHEN {d} THEN {1 << i} ELSE 0 END" for i, d in enumerate(_DIALS)) + " AS mask FROM documents), a AS (SELECT unnest(range(16)) AS s)"
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bits = [F.when(F.expr(d), F.lit(1 << i)).otherwise(F.lit(0)) for i, d in enumerate(_DIALS)]
+    return docs.select(F.coalesce("source", F.lit("")).alias("stream_id"), reduce(lambda a, b: a + b, bits).alias("mask"))
+
+
+def _outcome(p: str) -> str:
+    return " * ".join(f"(CASE WHEN s & {1 << i} > 0 THEN p{i} ELSE 1 - p{i} END)" for i in range(len(_DIALS)))
+
+
+@query("poisson_binomial_tail", f"{_FLAGS}, p AS (SELECT stream_id, " + ", ".join(f"avg(CASE WHEN mask & {1 << i} > 0 THEN 1.0 ELSE 0.0 END) AS p{i}" for i in range(4)) + f" FROM f GROUP BY 1), k AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS k) SELECT stream_id, k, {_r(f'coalesce(sum({_outcome(str())}) FILTER (WHERE bit_count(s) > k), 0) AS tail')} FROM p, a, k GROUP BY 1, 2")
+def _binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = [F.avg((F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).cast("double")) for i in range(len(_DIALS))]
+    rows = _masks(spark, sf_dir).groupBy("stream_id").agg(F.array(*rate).alias("p"))
+    rows = rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(len(_DIALS))))))
+    return rows.select("stream_id", "k", inference.poisson_binomial_tail(F.col("p"), F.col("k")).alias("tail"))
+
+
+@query("dial_shapley", f"""{_FLAGS}, v AS (SELECT stream_id, s, avg(CASE WHEN mask & s > 0 THEN 1.0 ELSE 0.0 END) AS v FROM f, a GROUP BY 1, 2), b AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS b),
+g AS (SELECT x.stream_id, b, y.v - x.v AS gain, CASE bit_count(x.s) WHEN 0 THEN 6 WHEN 3 THEN 6 ELSE 2 END / 24.0 AS w, x.s, y.v AS more FROM v x JOIN b ON x.s & (1 << b) = 0 JOIN v y ON y.stream_id = x.stream_id AND y.s = x.s | (1 << b))
+SELECT stream_id, b AS bit, {_r('sum(w * gain) AS shapley', 'max(CASE WHEN s = 0 THEN more END) AS alone', 'max(CASE WHEN bit_count(s) = 3 THEN gain END) AS without')} FROM g GROUP BY 1, 2""")
+def _shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.shapley(inference.lattice(_masks(spark, sf_dir), ["stream_id"], len(_DIALS)), ["stream_id"], len(_DIALS))
+
+
+@query("signed_rank")
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir)
+    parts = [results.paired(rows, ["dataset", "stream"], "f1", "m0", m).withColumn("against", F.lit(m)) for m in ("m1", "m2", "m3")]
+    return inference.signed_rank(reduce(DataFrame.union, parts), ["against"])
+
+
+@query("farthest_points")
+def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return inference.farthest_points(vectors, 16)
