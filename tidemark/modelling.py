@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import C, S, STEP, _r, _results, query
+from tidemark.catalog import _D, _RES, _S, C, S, STEP, _dials, _islands, _r, _results, query
 from tidemark.functions import quantile_estimators, ranks, tail_calibrator
-from tidemark.operators import forest, inference, mapping, results, subspaces
+from tidemark.operators import forest, inference, mapping, panels, results, segments, subspaces
 from tidemark.plans.steps import written
-from tidemark.sources.series import document_channels, document_series
+from tidemark.sources.series import document_channels, document_series, event_series
 from tidemark.streaming import rolling_tail
 
 W, CHANNELS, SECTIONS = C + S, 3, 4
@@ -159,3 +159,24 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     return inference.farthest_points(vectors, 16)
+
+
+# -- rules of panels and result tables
+
+
+@query("macro_seed_spread", f"""WITH {_RES}, c AS (SELECT model, dataset, stream, seed, avg(f1) AS v FROM r GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY model, dataset, stream) AS k FROM c), f AS (SELECT *, max(k) OVER (PARTITION BY model) AS most FROM k),
+m AS (SELECT model, seed, avg(v) AS m, count(*) AS n FROM f WHERE k = most GROUP BY 1, 2) SELECT model, {_r('avg(m) AS mean', 'stddev_samp(m) AS deviation')}, count(*) AS seeds, max(n) AS streams FROM m GROUP BY 1""")
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.seed_spread(_results(spark, sf_dir), "f1")
+
+
+@query("longest_nominal_run", f"WITH {_S}, n AS (SELECT *, 1 - label AS nominal FROM l){_islands('n', 'nominal', 'g')}, r AS (SELECT stream_id, start, \"end\" - start AS length, row_number() OVER (PARTITION BY stream_id ORDER BY \"end\" - start DESC, start) AS r FROM g) SELECT stream_id, start, length FROM r WHERE r = 1")
+def _nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.longest_run(event_series(spark, sf_dir).withColumn("nominal", 1 - F.col("label")), "nominal")
+
+
+@query("panel_quorum_sized", f"{_D} SELECT vec_id, trips, round(k, 6) AS quorum, trips > k AS alarm FROM c, (SELECT greatest(1.12 * quantile_cont(trips, 0.995), 2, 3.5 * (SELECT count(DISTINCT dial) FROM z) / 128) AS k FROM c)")
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dials = written(_dials(spark, sf_dir), "dials")
+    n = dials.select("dial").distinct().count()
+    return panels.quorum(panels.trips(dials, panels.dial_limits(dials)), floor=panels.sized_floor(n))

@@ -43,6 +43,11 @@ def quorum(counts: DataFrame, p: float = 0.995, scale: float = 1.12, floor: floa
     return counts.join(F.broadcast(limit), how="cross").withColumn("alarm", F.col("trips") > F.col("quorum"))  # one row
 
 
+def sized_floor(dials: int) -> float:
+    """The least quorum of a panel of so many dials."""
+    return max(2.0, 3.5 * dials / 128)
+
+
 def cusum(series: DataFrame, drift: float = 0.5) -> DataFrame:
     """Two-sided sums S = max(0, S + x - drift), from running sums: the upper
     one is P minus the least P so far (and 0), P the sum of x - drift."""

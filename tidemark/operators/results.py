@@ -11,13 +11,25 @@ from tidemark.operators.splits import drawn
 
 
 def macro(rows: DataFrame, value: str) -> DataFrame:
-    """Per model: mean over streams of seed means, mean over datasets of
-    those, and the deviation of seeds among complete streams."""
-    stream = rows.groupBy("model", "dataset", "stream").agg(F.avg(value).alias("v"), F.countDistinct("seed").alias("k"))
+    """Per model: mean over streams of seed means, and mean over datasets of
+    those. ``seed_spread`` has the deviation of seeds."""
+    stream = rows.groupBy("model", "dataset", "stream").agg(F.avg(value).alias("v"))
     by_set = stream.groupBy("model", "dataset").agg(F.avg("v").alias("d"), F.sum("v").alias("s"), F.count("*").alias("n"))
     return by_set.groupBy("model").agg((F.sum("s") / F.sum("n")).alias("stream_macro"), F.avg("d").alias("dataset_macro"), F.sum("n").alias("streams"))
 
 
+def seed_spread(rows: DataFrame, value: str) -> DataFrame:
+    """Per model, over the streams that have as many seeds as any of its streams:
+    mean and deviation of the seeds' macro means, seeds and streams. The deviation
+    is null with one seed."""
+    cells = rows.groupBy("model", "dataset", "stream", "seed").agg(F.avg(value).alias("v"))
+    sizes = cells.groupBy("model", "dataset", "stream").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("model").agg(F.max("k").alias("k"))
+    full = sizes.join(most, ["model", "k"]).select("model", "dataset", "stream")
+    by_seed = cells.join(full, ["model", "dataset", "stream"]).groupBy("model", "seed").agg(F.avg("v").alias("m"), F.count("*").alias("streams"))
+    return by_seed.groupBy("model").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("deviation"), F.count("*").alias("seeds"), F.max("streams").alias("streams"))
+
+
 def best_rows(rows: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """The best row of each group; the smallest ``tie`` wins ties."""
     rest = [c for c in rows.columns if c not in keys]
