@@ -66,23 +66,18 @@ def _document() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), h.alias("h")
 
 
-def rarity_ranks(texts: DataFrame) -> list[int]:
-    """For each of the 65,536 hash buckets, its rank from rare to frequent."""
+def rarity_masks(texts: DataFrame) -> DataFrame:
+    """One row: for each of the 65,536 hash buckets, what turns the bucket into
+    its rank from rare to frequent (as a signed number) by an exclusive or."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     words = texts.select(F.explode(_split_words(flat)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
-    size = dict.fromkeys(range(_BUCKETS), 0) | {r["bucket"]: r["count"] for r in counts}
-    ranks = [0] * _BUCKETS
-    for rank, bucket in enumerate(sorted(size, key=lambda b: (size[b], b))):
-        ranks[bucket] = rank
-    return ranks
-
-
-def _masks(ranks: list[int]) -> Column:
-    """What turns a hash's bucket into its rank (as a signed number) by an
-    exclusive or, as one constant array (folded when the plan is made)."""
-    top = ((bucket ^ rank ^ (_BUCKETS // 2)) << 48 for bucket, rank in enumerate(ranks))
-    return F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in top)), ",").cast("array<long>")
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("bucket")).agg(F.count("*").alias("n"))
+    every = texts.sparkSession.range(_BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    sizes = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct("n", "bucket"))), lambda x, i: F.struct(x.bucket.alias("bucket"), i.cast("long").alias("rank")))
+    sign = F.lit(_BUCKETS // 2).cast("long")
+    mask = lambda x: F.shiftleft(x.bucket.bitwiseXOR(x.rank).bitwiseXOR(sign), 48)
+    return sizes.agg(F.transform(F.sort_array(ranked), mask).alias("masks"))
 
 
 def word_hashes(line: Column) -> Column:
@@ -117,10 +112,13 @@ def _prefix(n: Column) -> Column:
 def line_classes(texts: DataFrame) -> DataFrame:
     """One row per distinct word set: its first place, size, prefix words and
     parities. The empty set is one of them, with size 0."""
-    masks = _masks(rarity_ranks(texts))
+    masks = written(rarity_masks(texts), "rarity")
     lines = texts.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     e = F.shiftleft(F.col("line").cast("long"), _TEXT_BITS).bitwiseOR(F.col("h"))
-    keyed = lines.select("d", e.alias("e"), _by_rarity(word_hashes(F.col("t")), masks).alias("keys"))
+    # a subquery may not stand in a lambda function, so it has a column of its own;
+    # Spark puts it where it is used, and the plan does not hold its numbers
+    hashed = lines.select("d", e.alias("e"), word_hashes(F.col("t")).alias("hashes"), masks.scalar().alias("masks"))
+    keyed = hashed.select("d", "e", _by_rarity(F.col("hashes"), F.col("masks")).alias("keys"))
     n = F.size("keys")
     cut = keyed.select(
         F.xxhash64("keys").alias("k"), n.alias("n"), _parity(F.col("keys"), False).alias("all"), _parity(F.col("keys"), True).alias("parity2"),
