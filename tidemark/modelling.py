@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import _D, _RES, _S, C, S, STEP, _dials, _islands, _r, _results, query
 from tidemark.functions import quantile_estimators, ranks, tail_calibrator
-from tidemark.operators import forest, inference, mapping, panels, results, segments, subspaces
+from tidemark.operators import forest, inference, mapping, panels, results, segments, shells, subspaces
 from tidemark.plans.steps import written
 from tidemark.sources.series import document_channels, document_series, event_series
-from tidemark.streaming import rolling_tail
+from tidemark.streaming import controllers, rolling_tail
 
 W, CHANNELS, SECTIONS = C + S, 3, 4
 _POINTS = (0.0, 0.5, 0.9, 0.98, 0.999, 1.0)
@@ -50,6 +50,35 @@ def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_tail.follow_table(document_series(spark, sf_dir), mode="filter", window=1000, step=100, gate=1.5, floor=1e-6)
 
 
+def _controlled(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = document_series(spark, sf_dir).withColumn("score", F.log1p("score"))
+    return rolling_tail.follow_table(scores, controllers.CONTROLLERS[name])
+
+
+@query("primal_dual_threshold")
+def _primal_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _controlled("primal_dual", spark, sf_dir)
+
+
+@query("band_threshold")
+def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _controlled("band", spark, sf_dir)
+
+
+@query("context_threshold")
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _controlled("context", spark, sf_dir)
+
+
+@query("quarantined_panel")
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dials are a document's channels; the operator confirms at every 500th
+    step, and takes the confirmation back at every 3000th."""
+    channels = document_channels(spark, sf_dir)
+    act = F.when(F.col("t") % 3000 == 2999, F.lit("rollback")).when(F.col("t") % 500 == 499, F.lit("confirm"))
+    return controllers.quarantine_table(channels.withColumn("action", act), distance=0.15, floor=0.5)
+
+
 # -- windows over all channels
 
 
@@ -98,6 +127,11 @@ def _stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspaces.energies(stable, SECTIONS, "x")
 
 
+@query("frequency_shells")
+def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shells.shell_energies(_windows(spark, sf_dir)[1], CHANNELS)
+
+
 @query("robust_pca")
 def _robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, steps = subspaces.robust_pca(_windows(spark, sf_dir)[1])

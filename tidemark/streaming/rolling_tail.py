@@ -273,8 +273,10 @@ def _runs(t: np.ndarray) -> Iterator[tuple[int, int]]:
 class _Follower(StatefulProcessor):
     """Thresholds in order of t = 0, 1, ..., whatever order rows arrive in."""
 
-    def __init__(self, options: dict):
-        self.options = options
+    kind: type = RollingTail
+
+    def __init__(self, options: dict, kind: type | None = None):
+        self.options, self.kind = options, kind or self.kind
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("calibrator", _STATE)
@@ -282,29 +284,39 @@ class _Follower(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = self.state.get()
-        at, tail = (kept[0], RollingTail(**json.loads(kept[1]))) if kept is not None else (0, RollingTail(**self.options))
+        at, state = (kept[0], self.kind(**json.loads(kept[1]))) if kept is not None else (0, self.kind(**self.options))
         frame = pd.concat(rows).sort_values("t")
-        t, x = frame["t"].to_numpy(np.int64), frame["score"].to_numpy(float)
+        t, x = frame["t"].to_numpy(np.int64), self._payload(frame)
         again = np.append(False, t[1:] == t[:-1])
         late = (t < at) | again
         if late.any():
             # steps that were dealt with before: answered, and without effect
-            yield self._rows(key, t[late], x[late], np.full(int(late.sum()), tail.tau), True)
+            yield self._answer(key, t[late], x[late], state, True)
         t, x = t[~late], x[~late]
         for a, b in _runs(t) if len(t) else ():
             if t[a] != at:
-                self.early.updateValue((int(t[a]),), (x[a:b].tolist(),))
+                self.early.updateValue((int(t[a]),), (self._packed(x[a:b]),))
                 continue
-            yield self._rows(key, t[a:b], x[a:b], tail.push(x[a:b]), False)
+            yield self._answer(key, t[a:b], x[a:b], state, False)
             at += b - a
             while (waiting := self.early.getValue((at,))) is not None:
                 self.early.removeKey((at,))
-                y = np.array(waiting[0], float)
-                yield self._rows(key, np.arange(at, at + len(y)), y, tail.push(y), False)
+                y = self._unpacked(waiting[0])
+                yield self._answer(key, np.arange(at, at + len(y)), y, state, False)
                 at += len(y)
-        self.state.update((at, tail.saved()))
+        self.state.update((at, state.saved()))
+
+    def _payload(self, frame: pd.DataFrame) -> np.ndarray:
+        return frame["score"].to_numpy(float)
+
+    def _packed(self, x: np.ndarray) -> list[float]:
+        return x.tolist()
+
+    def _unpacked(self, packed: list[float]) -> np.ndarray:
+        return np.array(packed, float)
 
-    def _rows(self, key, t, x, tau, late: bool) -> pd.DataFrame:
+    def _answer(self, key, t, x, state, late: bool) -> pd.DataFrame:
+        tau = np.full(len(t), state.tau) if late else state.push(x)
         return pd.DataFrame({"stream_id": key[0], "t": t, "score": x, "tau": tau, "alarm": x > tau, "late": late})
 
     def close(self) -> None:
@@ -320,14 +332,15 @@ _STORE = {
 }
 
 
-def follow(scores: DataFrame, **options: float | str) -> DataFrame:
+def follow(scores: DataFrame, kind: type = RollingTail, **options: float | str) -> DataFrame:
     """Thresholds of a *streaming* DataFrame (stream_id, t, score), where t counts
     a stream's steps from 0 without gaps. Null scores count as missing: their step
     has the threshold before it. A step that comes twice is late the second time.
+    ``kind`` is what sets them: ``RollingTail`` or one of ``controllers``.
     The session needs the RocksDB state store (``run`` sets it)."""
-    RollingTail(**options)
+    kind(**options)
     rows = scores.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("t").cast("long").alias("t"), F.col("score").cast("double").alias("score"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=_Follower(options), outputStructType=OUT, outputMode="append", timeMode="None")
+    return rows.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=_Follower(options, kind), outputStructType=OUT, outputMode="append", timeMode="None")
 
 
 def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -345,13 +358,16 @@ def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def follow_table(scores: DataFrame, slice_steps: int = 1 << 14, trigger_bytes: int = 64 << 20, **options: float | str) -> DataFrame:
-    """``follow`` over a finished table: it is written in slices of time, which
-    are read as a stream in micro-batches of bounded bytes."""
-    spark = scores.sparkSession
-    rows = scores.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("t").cast("long").alias("t"), F.col("score").cast("double").alias("score"))
-    path = shared_path(spark, "slices")
+def sliced(rows: DataFrame, slice_steps: int = 1 << 14, trigger_bytes: int = 64 << 20) -> DataFrame:
+    """A finished table (stream_id, t, ...) as a stream: it is written in slices of
+    time, which are read in micro-batches of bounded bytes."""
+    path = shared_path(rows.sparkSession, "slices")
     part = F.floor(F.col("t") / slice_steps).cast("long")
     rows.withColumn("part", part).repartition("part", "stream_id").sortWithinPartitions("part", "stream_id", "t").write.partitionBy("part").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", str(trigger_bytes)).parquet(f"{path}/part=*")
-    return run(spark, follow(stream, **options), "rolling-tail")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxBytesPerTrigger", str(trigger_bytes)).parquet(f"{path}/part=*")
+
+
+def follow_table(scores: DataFrame, kind: type = RollingTail, slice_steps: int = 1 << 14, trigger_bytes: int = 64 << 20, **options: float | str) -> DataFrame:
+    """``follow`` over a finished table."""
+    rows = scores.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("t").cast("long").alias("t"), F.col("score").cast("double").alias("score"))
+    return run(scores.sparkSession, follow(sliced(rows, slice_steps, trigger_bytes), kind, **options), "rolling-tail")
