@@ -52,7 +52,7 @@ def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _controlled(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = document_series(spark, sf_dir).withColumn("score", F.log1p("score"))
-    return rolling_tail.follow_table(scores, controllers.CONTROLLERS[name])
+    return rolling_tail.follow_table(scores, controllers.CONTROLLERS[name], warm=200)
 
 
 @query("primal_dual_threshold")
@@ -76,7 +76,7 @@ def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     step, and takes the confirmation back at every 3000th."""
     channels = document_channels(spark, sf_dir)
     act = F.when(F.col("t") % 3000 == 2999, F.lit("rollback")).when(F.col("t") % 500 == 499, F.lit("confirm"))
-    return controllers.quarantine_table(channels.withColumn("action", act), distance=0.15, floor=0.5)
+    return controllers.quarantine_table(channels.withColumn("action", act), warm=100, distance=0.15, floor=0.5)
 
 
 # -- windows over all channels
