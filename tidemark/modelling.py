@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import _D, _RES, _S, C, S, STEP, _dials, _islands, _r, _results, query
 from tidemark.functions import quantile_estimators, ranks, tail_calibrator
-from tidemark.operators import forest, inference, mapping, panels, results, segments, shells, subspaces
+from tidemark.operators import dependence, forest, inference, mapping, panels, relays, results, segments, shells, subspaces
 from tidemark.plans.steps import written
 from tidemark.sources.series import document_channels, document_series, event_series
 from tidemark.streaming import controllers, rolling_tail
@@ -214,3 +214,78 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     dials = written(_dials(spark, sf_dir), "dials")
     n = dials.select("dial").distinct().count()
     return panels.quorum(panels.trips(dials, panels.dial_limits(dials)), floor=panels.sized_floor(n))
+
+
+# -- panels of relays
+
+
+#: Shares of a stream that calibrate and that end the held-out part.
+_CAL, _HOLD = 0.35, 0.65
+
+
+def _relay_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points with their stream's length ``n``, residuals of all windows, and
+    their whitening, learnt from windows that lie in the calibration part."""
+    series = written(document_channels(spark, sf_dir), "channels")
+    n = mapping.lengths(series)
+    rows = written(subspaces.residuals(subspaces.windows(series, W, STEP), C, CHANNELS, SECTIONS), "residuals")
+    fit = subspaces.whitening(subspaces.scatter(_calibration(rows, n)), "full_zca", SECTIONS)
+    return series.select("stream_id", "t").join(n, "stream_id"), rows, written(fit, "whitening")
+
+
+def _calibration(windows: DataFrame, n: DataFrame) -> DataFrame:
+    return windows.join(n, "stream_id").where(F.col("i") * STEP + W <= F.floor(_CAL * F.col("n"))).select(*windows.columns)
+
+
+def _relay_dials(residuals: DataFrame, fit: DataFrame) -> DataFrame:
+    white = subspaces.whitened(residuals, fit, SECTIONS).select("stream_id", "i", F.col("white").alias("x"))
+    return relays.dials(white, SECTIONS)
+
+
+@query("relay_panel")
+def _relays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, residuals, fit = _relay_windows(spark, sf_dir)
+    dials = written(_relay_dials(residuals, fit), "dials")
+    limit = written(relays.limits(_calibration(dials, points.groupBy("stream_id").agg(F.first("n").alias("n")))), "limits")
+    counts = relays.counts_on_points(points, relays.tripped(dials, limit, SECTIONS), C, S, STEP, SECTIONS)
+    a, b = F.floor(_CAL * F.col("n")), F.floor(_HOLD * F.col("n"))
+    part = F.when(F.col("t") < a, "calibration").when(F.col("t") < a + S, "gap").when(F.col("t") < b, "holdout").otherwise("test")
+    counts = written(counts.join(points, ["stream_id", "t"]).select(*counts.columns, part.alias("part")), "counts")
+    return relays.decided(counts, relays.quorums(counts.where("part = 'calibration'")), "edge")
+
+
+@query("channel_attribution")
+def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, residuals, fit = _relay_windows(spark, sf_dir)
+    n = points.groupBy("stream_id").agg(F.first("n").alias("n"))
+    limit = written(relays.limits(_relay_dials(_calibration(residuals, n), fit)), "limits")
+    variants = _relay_dials(relays.without_channels(residuals, SECTIONS), fit)
+    return relays.lost_trips(relays.tripped(variants, limit, SECTIONS), CHANNELS)
+
+
+# -- independent steps
+
+
+_SPAN, _BATCH = 512, 16
+_SPANS = f"""WITH s AS (SELECT coalesce(lang, '') AS lang, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) - 1 AS t, ln(1 + n_chars) AS value FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL),
+x AS (SELECT lang || ':' || (t // {_SPAN}) AS stream_id, t % {_SPAN} AS t, value FROM s), q AS (SELECT stream_id, count(*) AS n, avg(value) AS m, var_pop(value) AS p, var_samp(value) AS v FROM x GROUP BY 1)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a language's documents as streams of their own."""
+    rows = document_series(spark, sf_dir)
+    span = F.concat_ws(":", "stream_id", F.floor(F.col("t") / _SPAN).cast("string"))
+    return rows.select(span.alias("stream_id"), (F.col("t") % _SPAN).alias("t"), F.log1p("score").alias("value"))
+
+
+@query("windowed_time", f"""{_SPANS}, c AS (SELECT a.stream_id, b.t - a.t AS k, sum((a.value - m) * (b.value - m)) / any_value(p * n) AS rho, any_value(n) AS n FROM x a JOIN x b ON a.stream_id = b.stream_id AND b.t > a.t JOIN q ON q.stream_id = a.stream_id WHERE n > 8 AND p >= 1e-24 GROUP BY 1, 2),
+w AS (SELECT *, 1 + 2 * sum(rho) OVER (PARTITION BY stream_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS tau FROM c), e AS (SELECT stream_id, arg_min(tau, k) AS tau FROM w WHERE k >= 5 * tau OR k = n - 1 GROUP BY 1), f AS (SELECT q.stream_id, n, greatest(1, coalesce(tau, 1)) AS tau FROM q LEFT JOIN e USING (stream_id))
+SELECT stream_id, n, {_r('tau', 'n / tau AS effective')} FROM f""")
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.windowed_time(_spans(spark, sf_dir))
+
+
+@query("batch_time", f"""{_SPANS}, b AS (SELECT stream_id, t // {_BATCH} AS b, avg(value) AS m FROM x GROUP BY 1, 2 HAVING count(*) = {_BATCH}), w AS (SELECT stream_id, count(*) AS batches, var_samp(m) AS w FROM b GROUP BY 1)
+SELECT stream_id, n, coalesce(batches, 0) AS batches, {_r(f'CASE WHEN batches >= 4 AND p >= 1e-14 THEN {_BATCH} * w / v END AS tau')} FROM q LEFT JOIN w USING (stream_id)""")
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.batch_time(_spans(spark, sf_dir), _BATCH)

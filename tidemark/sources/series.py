@@ -88,8 +88,15 @@ def label_ranges(table: DataFrame) -> DataFrame:
 
 def read_stream_csv(spark: SparkSession, path: str) -> DataFrame:
     """A wide CSV of sensors as (t, channel, value, label); the label is the
-    first of is_anomaly, label, labels, else 0; non-finite values become 0."""
-    wide = spark.read.csv(path, header=True, inferSchema=True).withColumn("t", F.monotonically_increasing_id())
+    first of is_anomaly, label, labels, else 0; non-finite values become 0. ``t``
+    counts rows from 0 without gaps, files in order of their paths: rows are
+    numbered within their piece of a file, and the pieces' sizes are added up."""
+    piece = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start")}
+    wide = spark.read.csv(path, header=True, inferSchema=True).withColumns(piece | {"_m": F.monotonically_increasing_id()})
+    sizes = wide.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_at")) - F.col("_n")  # a row for each piece of a file
+    sizes = sizes.select("_file", "_at", (before - F.col("_first")).alias("_shift"))
+    wide = wide.join(sizes, ["_file", "_at"]).withColumn("t", F.col("_m") + F.col("_shift")).drop("_file", "_at", "_m", "_shift")
     labels = [c for c in ("is_anomaly", "label", "labels") if c in wide.columns]
     sensors = [c for c in wide.columns if c not in {"t", "timestamp", "is_anomaly", "label", "labels"}]
     label = (F.col(labels[0]).cast("double") > 0.5).cast("int") if labels else F.lit(0)
