@@ -295,3 +295,27 @@ def test_signs_at_the_mean_agree_with_sql(spark, tmp_path):
     want = con.sql(catalog.ORACLE_SQL["feat_complexity"] + " ORDER BY t").fetchall()
     got = catalog.QUERIES["feat_complexity"](spark, str(tmp_path)).select("stream_id", "t", "step_32", "flips_32").orderBy("t").collect()
     assert [tuple(r) for r in got] == want and len(got) == 720
+
+
+def test_nearest_in_shards_loses_no_pair_and_computes_few(spark, monkeypatch):
+    """Several shards on both sides, copies, near copies, large and missing numbers."""
+    from tidemark.operators import neighbours
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6)).astype("f4")
+    x[100:200] = x[100]
+    x[200:260] = x[200] + rng.normal(size=(60, 6)).astype("f4") * 1e-6
+    x[390:] *= np.float32(1e18)
+    for name, most in (("MOST_CONTEXTS", 90), ("MOST_BANK", 130), ("BLOCK_ROWS", 50), ("_CONTEXTS", 30), ("_PAIRS", 500)):
+        monkeypatch.setattr(neighbours, name, most)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())] + [(1000, None)], "vec_id long, embedding array<float>")
+    found = neighbours.nearest(rows, rows, 5, leave_out_self=True).collect()
+    y, want = x.astype("f8"), []
+    for k in range(400):
+        d = np.round(np.sqrt(((y - y[k]) ** 2).sum(1)), 9)
+        want += [(k, r, m, d[m]) for r, m in enumerate(sorted((m for m in range(400) if m != k), key=lambda m: (d[m], m))[:5], 1)]
+    assert sorted(tuple(r) for r in found) == want
+    points = rng.normal(size=(2000, 6)).astype("f4")
+    shard = neighbours._Shard(np.arange(2000), points)
+    pairs = shard.near(points[:100].astype("f8"), slice(0, 2000), np.full(100, np.inf), 6)
+    assert 600 <= len(pairs[0]) < 1000

@@ -1,24 +1,29 @@
 """Nearest neighbours against a memory bank of any size.
 
-Contexts and bank are both dealt into blocks of bounded size, every pair of
-blocks is compared, and the k best of a context in each block are merged. A
-caller who wants a bank of bounded size takes it from ``bank``.
+Contexts and bank are both dealt into shards of bounded size, and every pair of
+shards is compared: a matrix product gives squared distances in single precision,
+pairs that its error bound can't rule out are computed in full, and the k best of
+a context in each shard are merged. A caller who wants a bank of bounded size takes
+it from ``bank``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 5000
-#: Rows of a block, on average.
+#: Bank rows of a matrix product, and contexts.
 BLOCK_ROWS = 2000
-#: Cells of the differences computed at once.
-_CELLS = 1 << 22
+_CONTEXTS = 512
+#: Shards of the contexts at least (of LEAST rows or more), and the most rows of a shard.
+SHARDS, LEAST, MOST_CONTEXTS, MOST_BANK = 24, 512, 1 << 16, 1 << 17
+#: Pairs computed in full at once.
+_PAIRS = 1 << 16
+#: Share of the pairs of a product from which it is made again in double precision.
+_DENSE = 1 / 32
 
 
 def bank(rows: DataFrame, key: str, cap: int = CAP) -> DataFrame:
@@ -26,43 +31,96 @@ def bank(rows: DataFrame, key: str, cap: int = CAP) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(cap)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, ids: str, points: str) -> DataFrame:
-    """The rows packed into blocks, dealt by hash of the key."""
-    schema = f"{ids} binary, {points} binary"
-
-    def pack(block: pa.Table) -> pa.Table:
-        x = np.array(block.column(1).to_pylist(), "<f8")
-        return pa.table({ids: [block.column(0).to_numpy().astype("<i8").tobytes()], points: [x.tobytes()]}, schema=pa.schema([(ids, pa.binary()), (points, pa.binary())]))
-
-    whole = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).where("key is not null and vector is not null")
-    n = max(1, -(-whole.count() // BLOCK_ROWS))
-    dealt = whole.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("block")
-    return dealt.applyInArrow(lambda block: pack(block.select(["key", "vector"])), schema)
+class _Shard:
+    """Bank rows within a task: their points, and [-2 y, |y|^2] for the products."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        self.ids, self.points = ids, points
+        self.square = np.einsum("ij,ij->i", points, points, dtype="f8")
+        self.reach = float(np.sqrt(np.max(self.square, initial=0.0)))
+        self.single = self.widened(slice(None), np.float32)
+
+    def widened(self, part: slice, kind: type) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.concatenate([-2 * self.points[part].astype("f8"), self.square[part, None]], axis=1).astype(kind)
+
+    def near(self, x: np.ndarray, part: slice, within: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(context, bank row) pairs of a part, with all that are no farther than
+        ``within`` or among the ``most`` nearest; it may hold others."""
+        square = np.einsum("ij,ij->i", x, x)
+        span = np.sqrt(square) + self.reach
+        for kind in (np.float32, np.float64):
+            y = self.single[part] if kind is np.float32 else self.widened(part, kind)
+            with np.errstate(all="ignore"):
+                apart = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(kind) @ y.T
+                slack = np.where(span < 1e15, (x.shape[1] + 8) * np.finfo(kind).eps * span * span + 1e-30, np.inf)
+                limit = (within + 1e-9) ** 2 - square + slack
+                if not np.isfinite(within).all() and apart.shape[1] > most:
+                    limit = np.minimum(limit, np.partition(apart, most - 1, axis=1)[:, most - 1] + 2 * slack)
+                close = ~(apart > np.nextafter(limit.astype(kind), kind(np.inf))[:, None])
+            if np.count_nonzero(close) <= _DENSE * close.size:
+                break
+        return np.divmod(np.flatnonzero(close), close.shape[1])
+
+
+def _merged(rows: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, in order."""
+    order = np.lexsort((ids, distance, rows))
+    rows, distance, ids = rows[order], distance[order], ids[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], distance[kept], ids[kept]
+
+
+def _best(own: np.ndarray, x: np.ndarray, shard: _Shard, k: int, leave_out_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, distance, neighbour) for some contexts: their k best of a shard."""
+    rows, distance, ids = np.zeros(0, int), np.zeros(0), np.zeros(0, "i8")
+    within = np.full(len(x), np.inf)
+    for a in range(0, len(shard.ids), BLOCK_ROWS):
+        p, q = shard.near(x, slice(a, a + BLOCK_ROWS), within, k + leave_out_self)
+        q += a
+        if leave_out_self:
+            other = own[p] != shard.ids[q]
+            p, q = p[other], q[other]
+        for e in range(0, len(p), _PAIRS):
+            s, t = p[e : e + _PAIRS], q[e : e + _PAIRS]
+            d = np.round(np.sqrt(((x[s] - shard.points[t]) ** 2).sum(1)), 9)
+            rows, distance, ids = _merged(np.append(rows, s), np.append(distance, d), np.append(ids, shard.ids[t]), k)
+        count = np.bincount(rows, minlength=len(x))
+        full = count == k
+        within[full] = distance[(np.cumsum(count) - 1)[full]]
+    return rows, distance, ids
+
+
+def _read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = rows.column("key").to_numpy()
+    points = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, points.reshape(len(ids), -1 if len(ids) else 0)
 
 
 def nearest(contexts: DataFrame, memory: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", leave_out_self: bool = False) -> DataFrame:
     """(key, rank, neighbour, distance): the k nearest by Euclidean distance;
     ties go to the smaller key."""
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own, x, ids, points = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8")))
-                x, points = x.reshape(len(own), -1), points.reshape(len(ids), -1)
-                step = max(1, _CELLS // max(1, points.size))
-                for a in range(0, len(own), step):
-                    d = np.round(np.sqrt(((x[a : a + step, None, :] - points[None]) ** 2).sum(2)), 9)
-                    if leave_out_self:
-                        d[own[a : a + step, None] == ids[None]] = np.inf
-                    best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : k + leave_out_self]
-                    found = np.take_along_axis(d, best, 1)
-                    real = (own[a : a + step, None] != ids[best]) | (not leave_out_self)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.broadcast_to(own[a : a + step, None], best.shape)[real]), pa.array(ids[best][real]), pa.array(found[real]),
-                    ], names=["key", "neighbour", "distance"])
-
-    pairs = _blocks(contexts, key, vector, "own", "x").crossJoin(_blocks(memory, key, vector, "ids", "points"))
-    found = pairs.mapInArrow(search, "key long, neighbour long, distance double")
+    def search(own: pa.Table, bank: pa.Table) -> pa.Table:
+        (keys, x), shard, found = _read(own), _Shard(*_read(bank)), []
+        for a in range(0, len(keys) if bank.num_rows else 0, _CONTEXTS):
+            part = keys[a : a + _CONTEXTS]
+            rows, distance, ids = _best(part, x[a : a + _CONTEXTS].astype("f8"), shard, k, leave_out_self)
+            found.append(pa.table({"key": part[rows], "neighbour": ids, "distance": distance}))
+        return pa.concat_tables(found) if found else pa.table({"key": pa.array([], "int64"), "neighbour": pa.array([], "int64"), "distance": pa.array([], "float64")})
+
+    whole = lambda rows: rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).where("key is not null and vector is not null")
+    contexts, memory = whole(contexts), whole(memory)
+    n, m = contexts.count(), memory.count()
+    across, down = max(-(-n // MOST_CONTEXTS), min(SHARDS, -(-n // LEAST)), 1), max(1, -(-m // MOST_BANK))
+    # of equal vectors, only the smallest keys can be anyone's neighbours
+    copies = F.row_number().over(Window.partitionBy("vector").orderBy("key"))
+    memory = memory.withColumn("_copy", copies).where(F.col("_copy") <= k + leave_out_self).drop("_copy")
+    shard = lambda parts: F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = contexts.select("key", "vector", shard(across).alias("across"), every(down).alias("down"))
+    right = memory.select("key", "vector", every(across).alias("across"), shard(down).alias("down"))
+    found = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(search, "key long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("key").alias(key), F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
 
