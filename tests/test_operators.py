@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +321,21 @@ def test_nearest_in_shards_loses_no_pair_and_computes_few(spark, monkeypatch):
     shard = neighbours._Shard(np.arange(2000), points)
     pairs = shard.near(points[:100].astype("f8"), slice(0, 2000), np.full(100, np.inf), 6)
     assert 600 <= len(pairs[0]) < 1000
+
+
+def test_score_floor_puts_no_stream_in_one_task(spark):
+    """The ranks of a stream are dealt by ranges of scores: no window over a stream's rows."""
+    from tidemark.functions import thresholds
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.exponential(50, 6000), 2)
+    rows = spark.createDataFrame([("a", float(v)) for v in x], "stream_id string, score double")
+    plans = [f(rows)._jdf.queryExecution().optimizedPlan().toString() for f in (thresholds.score_floor, thresholds.elbow, lambda s: thresholds.higher(s, 0.01), lambda s: thresholds.conformal(s, 0.01))]
+    assert not any(re.search(r"row_number\(\) windowspecdefinition\(stream_id#\d+, score", p) for p in plans)
+    y = np.sort(x)
+    a, b = int(0.05 * 5999), int(np.ceil(0.995 * 5999))
+    u, v = (np.arange(a, b + 1) - a) / (b - a), (y[a : b + 1] - y[a]) / (y[b] - y[a])
+    got = thresholds.score_floor(rows).first()
+    assert got.lower_elbow == y[a + np.round(u - v, 9).argmax()] and got.upper_elbow == y[a + np.round(v - u, 9).argmax()]
+    assert thresholds.higher(rows, 0.01).first().tau == np.quantile(x, 0.99, method="higher")
+    assert thresholds.classic_conformal(rows, 0.01).first().tau == y[int(np.ceil(6001 * 0.99)) - 1]

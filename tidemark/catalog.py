@@ -508,9 +508,8 @@ lo AS (SELECT stream_id, value AS lower_elbow FROM (SELECT *, row_number() OVER
 
 @query("thr_elbow", f"{_CURVE} SELECT stream_id, {_r('lower_elbow', 'upper_elbow')} FROM lo JOIN up USING (stream_id)")
 def _elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _by_value(spark, sf_dir)
-    upper = thresholds.elbow(rows, "upper").withColumnRenamed("tau", "upper_elbow")
-    return thresholds.elbow(rows).withColumnRenamed("tau", "lower_elbow").join(upper, "stream_id")
+    found = thresholds.elbows(_by_value(spark, sf_dir))
+    return found.withColumnsRenamed({"lower": "lower_elbow", "upper": "upper_elbow"})
 
 
 @query("thr_score_floor")

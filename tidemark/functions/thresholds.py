@@ -5,11 +5,23 @@ Every function takes (stream_id, score) rows and gives one row a stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.plans.blocks import Blocked
+from tidemark.plans.steps import written
+
+
+def _at_rank(scores: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+    """(stream_id, tau): the order statistic at ``rank`` (from 0) of a stream's size."""
+    scores = written(scores.where("score is not null").select("stream_id", "score"), "scores")
+    sizes = scores.groupBy("stream_id").agg(F.count("*").alias("n"))
+    wanted = written(sizes.select("stream_id", rank(F.col("n")).cast("long").alias("rank")), "places")
+    return ranks.order_statistics(scores, wanted).select("stream_id", F.col("value").alias("tau"))
 
 
 def quantile(scores: DataFrame, p: float) -> DataFrame:
@@ -29,17 +41,17 @@ def plateau_aware(scores: DataFrame, p: float) -> DataFrame:
 
 def higher(scores: DataFrame, rate: float) -> DataFrame:
     """The order statistic that at most ``rate`` of the scores exceed."""
-    w = Window.partitionBy("stream_id")
-    ranked = scores.withColumns({"r": F.row_number().over(w.orderBy("score")), "n": F.count("*").over(w)})
-    return ranked.where(F.col("r") == F.ceil((1 - F.lit(rate)) * (F.col("n") - 1)) + 1).select("stream_id", F.col("score").alias("tau"))
+    return _at_rank(scores, lambda n: F.ceil((1 - F.lit(rate)) * (n - 1)))
 
 
 def conformal(scores: DataFrame, alpha: float) -> DataFrame:
     """Split conformal: the higher quantile at level ceil((n+1)(1-alpha))/n."""
-    w = Window.partitionBy("stream_id")
-    ranked = scores.withColumns({"r": F.row_number().over(w.orderBy("score")), "n": F.count("*").over(w)})
-    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - F.lit(alpha))) / F.col("n"))
-    return ranked.where(F.col("r") == F.ceil(level * (F.col("n") - 1)) + 1).select("stream_id", F.col("score").alias("tau"))
+
+    def rank(n: Column) -> Column:
+        level = F.least(F.lit(1.0), F.ceil((n + 1) * (1 - F.lit(alpha))) / n)
+        return F.ceil(level * (n - 1))
+
+    return _at_rank(scores, rank)
 
 
 def p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
@@ -77,16 +89,23 @@ def elbow(scores: DataFrame, direction: str = "lower") -> DataFrame:
     the 5 % and 99.5 % ranks; of several the first, and on a flat curve its value."""
     if direction not in ("lower", "upper"):
         raise ValueError(f"unknown direction {direction!r}")
-    w = Window.partitionBy("stream_id")
-    r = scores.withColumns({"r": F.row_number().over(w.orderBy("score")) - 1, "n": F.count("*").over(w)})
+    return elbows(scores).select("stream_id", F.col(direction).alias("tau"))
+
+
+def elbows(scores: DataFrame) -> DataFrame:
+    """(stream_id, lower, upper): both elbows of each stream, with no stream in one task."""
+    r = ranks.placed(scores.select("stream_id", "score"), ["stream_id"], "score").withColumnRenamed("rank", "r")
     a, b = F.floor(0.05 * (F.col("n") - 1)), F.ceil(0.995 * (F.col("n") - 1))
     r = r.withColumn("a", a).withColumn("b", F.least(F.greatest(F.col("a") + 2, b), F.col("n") - 1)).where("r between a and b")
-    ends = r.groupBy("stream_id").agg(F.min_by("score", "r").alias("s0"), F.max_by("score", "r").alias("s1"))
-    r = r.join(ends, "stream_id")
+    r = written(r, "curve")
+    ends = written(r.groupBy("stream_id").agg(F.min_by("score", "r").alias("s0"), F.max_by("score", "r").alias("s1")), "ends")
+    r = r.join(F.broadcast(ends), "stream_id")
     u = F.try_divide(F.col("r") - F.col("a"), F.col("b") - F.col("a"))
     v = F.try_divide(F.col("score") - F.col("s0"), F.col("s1") - F.col("s0"))
-    gap = F.when(F.col("s1") > F.col("s0"), F.round(u - v if direction == "lower" else v - u, 9)).otherwise(0.0)
-    return r.withColumn("d", gap).groupBy("stream_id").agg(F.max_by("score", F.struct("d", -F.col("r"))).alias("tau"))
+    gap = F.when(F.col("s1") > F.col("s0"), F.round(u - v, 9)).otherwise(0.0)
+    back = F.when(F.col("s1") > F.col("s0"), F.round(v - u, 9)).otherwise(0.0)
+    best = lambda d: F.max_by("score", F.struct(d, -F.col("r")))
+    return r.groupBy("stream_id").agg(best(gap).alias("lower"), best(back).alias("upper"))
 
 
 def score_floor(scores: DataFrame) -> DataFrame:
@@ -99,17 +118,19 @@ def score_floor(scores: DataFrame) -> DataFrame:
     """
     from tidemark.functions.robust import finite
 
-    s = scores.where(finite(F.col("score"))).select("stream_id", "score")
+    s = written(scores.where(finite(F.col("score"))).select("stream_id", "score"), "scores")
     top = s.groupBy("stream_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
     edge = F.col("top") - F.greatest(F.lit(1e-6), 1e-5 * F.greatest(F.abs("top"), F.lit(1.0)))
-    marked = s.join(top, "stream_id").withColumn("flat", F.col("score") >= edge)
+    marked = s.join(F.broadcast(written(top, "tops")), "stream_id").withColumn("flat", F.col("score") >= edge)
     share = marked.groupBy("stream_id", "n").agg(F.avg(F.col("flat").cast("double")).alias("plateau"), F.sum((~F.col("flat")).cast("long")).alias("below"))
     share = share.withColumn("cut", (F.col("plateau") >= 0.005) & (F.col("below") >= 20))
-    work = marked.join(share.select("stream_id", "cut"), "stream_id").where("not (cut and flat)").select("stream_id", "score")
-    shape = work.groupBy("stream_id").agg(F.count("*").alias("effective"), F.percentile("score", 0.9).alias("p90"), F.min("score").alias("low"), F.max("score").alias("high"))
-    rows = share.join(shape, "stream_id")
-    for name, found in (("lower_elbow", elbow(work)), ("upper_elbow", elbow(work, "upper")), ("otsu", otsu(work))):
-        rows = rows.join(found.withColumnRenamed("tau", name), "stream_id")
+    share = written(share, "plateaus")
+    work = marked.join(F.broadcast(share.select("stream_id", "cut")), "stream_id").where("not (cut and flat)").select("stream_id", "score")
+    work = written(work, "scores")
+    shape = work.groupBy("stream_id").agg(F.count("*").alias("effective"), F.min("score").alias("low"), F.max("score").alias("high"))
+    rows = share.join(shape, "stream_id").join(ranks.quantile(work, 0.9).withColumnRenamed("tau", "p90"), "stream_id")
+    rows = rows.join(elbows(work).withColumnsRenamed({"lower": "lower_elbow", "upper": "upper_elbow"}), "stream_id")
+    rows = rows.join(otsu(work).withColumnRenamed("tau", "otsu"), "stream_id")
     low, up, split = F.col("lower_elbow"), F.col("upper_elbow"), F.col("otsu")
     reason = (
         F.when(F.col("n") < 20, "too_few_scores").when(F.col("effective") < 20, "too_few_non_plateau_scores").when(F.col("p90") <= 1e-8, "near_zero_score_bulk")
@@ -122,8 +143,8 @@ def score_floor(scores: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("reason", reason).withColumn("selected", choice)
     tau = F.when(F.col("selected") == "none", 0.0).when(F.col("selected") == "otsu", split).when(F.col("selected") == "upper_elbow", up).otherwise(low)
-    rows = rows.withColumn("tau", tau)
-    under = work.join(rows.select("stream_id", "tau"), "stream_id").groupBy("stream_id").agg((100 * F.avg((F.col("score") <= F.col("tau")).cast("double"))).alias("pct"))
+    rows = written(rows.withColumn("tau", tau), "floors")
+    under = work.join(F.broadcast(rows.select("stream_id", "tau")), "stream_id").groupBy("stream_id").agg((100 * F.avg((F.col("score") <= F.col("tau")).cast("double"))).alias("pct"))
     ok = lambda c: F.when(F.col("reason") == "ok", F.col(c)).otherwise(0.0)
     return rows.join(under, "stream_id").select("stream_id", "tau", "reason", "selected", F.col("cut").alias("plateau_adjusted"), F.col("plateau").alias("plateau_fraction"), *(ok(c).alias(c) for c in ("lower_elbow", "upper_elbow", "otsu")), ok("pct").alias("percentile"), F.when(F.col("n") < 20, F.col("n")).otherwise(F.col("effective")).alias("effective"))
 
@@ -171,10 +192,7 @@ def gpd_quantile(u: Column, shape: Column, scale: Column, n: Column, n_u: Column
 
 def classic_conformal(scores: DataFrame, alpha: float) -> DataFrame:
     """The order statistic of rank ceil((n + 1)(1 - alpha)), the last at most."""
-    w = Window.partitionBy("stream_id")
-    ranked = scores.withColumns({"r": F.row_number().over(w.orderBy("score")), "n": F.count("*").over(w)})
-    rank = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * (1.0 - alpha))))
-    return ranked.where(F.col("r") == rank).select("stream_id", F.col("score").alias("tau"))
+    return _at_rank(scores, lambda n: F.least(n, F.greatest(F.lit(1), F.ceil((n + 1) * (1.0 - alpha)))) - 1)
 
 
 def dial_rules(dials: DataFrame) -> DataFrame:
