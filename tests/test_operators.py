@@ -339,3 +339,23 @@ def test_score_floor_puts_no_stream_in_one_task(spark):
     assert got.lower_elbow == y[a + np.round(u - v, 9).argmax()] and got.upper_elbow == y[a + np.round(v - u, 9).argmax()]
     assert thresholds.higher(rows, 0.01).first().tau == np.quantile(x, 0.99, method="higher")
     assert thresholds.classic_conformal(rows, 0.01).first().tau == y[int(np.ceil(6001 * 0.99)) - 1]
+
+
+def test_tail_fit_reads_written_excesses(spark):
+    """Limits by exact ranks, no aggregation buffer of a stream's values; the fit's plan
+    starts from files and sorts no stream."""
+    x = np.round(np.random.default_rng(3).exponential(50, 6000), 2)
+    rows = spark.createDataFrame([("a", float(v)) for v in x], "stream_id string, score double")
+    over = tails.excesses(rows)
+    u = np.percentile(x, 98)
+    got = over.collect()
+    assert {(r.u, r.n) for r in got} == {(u, 6000)} and sorted(r.y for r in got) == sorted(v - u for v in x if v > u)
+    plan = tails.fit_gpd(over)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "LogicalRDD" not in plan and plan.count("Join") == 1
+    fit = tails.fit_gpd(over).first()
+    theta = np.linspace(-0.999 / max(r.y for r in got), 10 / np.mean([r.y for r in got]), 20001)
+    theta = theta[abs(theta) > 1e-9]
+    shape = np.log1p(theta[:, None] * np.array([r.y for r in got])).mean(axis=1)
+    with np.errstate(invalid="ignore"):
+        best = np.nanmax(np.where(shape / theta > 0, -np.log(shape / theta) - shape - 1, np.nan))
+    assert -np.log(fit.scale) - fit.shape - 1 > best - 1e-4
