@@ -393,6 +393,17 @@ def test_robust_pca(spark):
     assert steps == 0 and empty.collect() == []
 
 
+def test_robust_pca_works_on_slices(spark, monkeypatch):
+    """A step holds some vectors of a batch at once, not copies of all of them."""
+    monkeypatch.setattr(subspaces, "_SLICE", 7)
+    x = np.random.default_rng(9).normal(size=(40, 5))
+    rows, steps = subspaces.robust_pca(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>").coalesce(1))
+    found = rows.orderBy("id").collect()
+    parts = np.array([r.low for r in found]), np.array([r.sparse for r in found])
+    assert [r.id for r in found] == list(range(40))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(parts, _alternating(x, steps), strict=True))
+
+
 # -- forests
 
 

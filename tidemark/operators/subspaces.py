@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -294,6 +295,19 @@ def stabilised(rows: DataFrame, reference: Column) -> DataFrame:
 
 # -- robust subspaces
 
+#: Vectors that a step works on at once.
+_SLICE = 512
+
+
+def _slices(batch: pa.RecordBatch, columns: str) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Slices of a batch, with its columns of vectors as matrices. These lie in the
+    batch's own memory."""
+    whole = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in columns] if batch.num_rows else []
+    for a in range(0, batch.num_rows, _SLICE):
+        part = slice(a, min(a + _SLICE, batch.num_rows))
+        yield part, [m[part] for m in whole]
+
+
 def robust_pca(vectors: DataFrame, weight: float | None = None, most: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, int]:
     """Vectors with low and sparse for x, which they add up to within the
     tolerance (other columns are kept), and how many steps it took: a matrix of low rank and one of few large
@@ -337,21 +351,21 @@ def _gram(rows: DataFrame, step: tuple[float, float] | None) -> tuple[int, int,
     """Rows, width, Gram matrix, largest entry and sum of squares: of x, or of what
     the low-rank part is cut from in this step. d x d numbers a task."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, gram, top = 0, None, 0.0
         for batch in batches:
-            if len(batch):
-                x = _stacked(batch["x"])
+            for _, (x, *more) in _slices(batch, "xly" if step else "x"):
                 if step:
-                    weight, mu = step
-                    y = _stacked(batch["y"]) / mu
-                    x = x - _soft(x - _stacked(batch["l"]) + y, weight / mu) + y
+                    (weight, mu), (l, y) = step, more
+                    y = y / mu
+                    x = x - _soft(x - l + y, weight / mu) + y
                 n, top = n + len(x), max(top, float(np.abs(x).max()))
                 gram = x.T @ x if gram is None else gram + x.T @ x
         if n:
-            yield pd.DataFrame({"k": np.arange(gram.size), "g": gram.ravel(), "n": np.where(np.arange(gram.size) == 0, n, 0), "top": top})
+            k = np.arange(gram.size, dtype="i4")
+            yield pa.RecordBatch.from_pydict({"k": k, "g": gram.ravel(), "n": np.where(k == 0, n, 0), "top": np.full(gram.size, top)})
 
-    cells = rows.mapInPandas(run, "k int, g double, n long, top double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.max("top").alias("top")).toPandas()
+    cells = rows.select("x", *("ly" if step else "")).mapInArrow(run, "k int, g double, n long, top double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.max("top").alias("top")).toPandas()
     if cells.empty:
         return 0, 0, np.zeros((0, 0)), 0.0, 0.0
     d = int(round(len(cells) ** 0.5))
@@ -362,14 +376,18 @@ def _gram(rows: DataFrame, step: tuple[float, float] | None) -> tuple[int, int,
 
 
 def _stepped(rows: DataFrame, keys: list[str], weight: float, mu: float, project: np.ndarray) -> DataFrame:
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(matrix: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype="i4")), pa.array(matrix.ravel()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, l, y = (_stacked(batch[c]) for c in "xly")
+            for part, (x, l, y) in _slices(batch, "xly"):
                 sparse = _soft(x - l + y / mu, weight / mu)
                 low = (x - sparse + y / mu) @ project
                 z = x - low - sparse
-                yield batch[keys].assign(x=list(x), l=list(low), y=list(y + mu * z), sparse=list(sparse), left=(z * z).sum(axis=1))
+                kept = batch.slice(part.start, len(x))
+                out = {"x": kept.column("x"), "l": vectors(low), "y": vectors(y + mu * z), "sparse": vectors(sparse), "left": pa.array((z * z).sum(axis=1))}
+                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in keys} | out)
 
     known = rows.select(*keys, "x", "l", "y")
-    return known.mapInPandas(run, StructType([*known.schema.fields, StructField("sparse", ArrayType(DoubleType())), StructField("left", DoubleType())]))
+    return known.mapInArrow(run, StructType([*known.schema.fields, StructField("sparse", ArrayType(DoubleType())), StructField("left", DoubleType())]))
