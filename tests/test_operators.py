@@ -323,6 +323,26 @@ def test_nearest_in_shards_loses_no_pair_and_computes_few(spark, monkeypatch):
     assert 600 <= len(pairs[0]) < 1000
 
 
+def test_limits_are_renewed_ever_more_rarely(monkeypatch):
+    """The k best of many blocks, with few merges, each of contexts that have new pairs."""
+    from tidemark.operators import neighbours
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2003, 5)).astype("f4")
+    x[7] = np.nan
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 20)
+    sizes, merged = [], neighbours._merged
+    monkeypatch.setattr(neighbours, "_merged", lambda rows, *a: sizes.append(len(rows)) or merged(rows, *a))
+    own, y = np.arange(0, 2003, 40), x.astype("f8")
+    rows, distance, ids = neighbours._best(own, y[own], neighbours._Shard(np.arange(2003), x), 4, True)
+    want = []
+    for r, k in enumerate(own):
+        d = np.round(np.sqrt(((y - y[k]) ** 2).sum(1)), 9)
+        want += [(r, m) for m in sorted((m for m in range(2003) if m != k and m != 7), key=lambda m: (d[m], m))[:4]]
+    assert list(zip(rows.tolist(), ids.tolist(), strict=True)) == want
+    assert len(sizes) <= 25 and np.isfinite(distance).all()
+
+
 def test_score_floor_puts_no_stream_in_one_task(spark):
     """The ranks of a stream are dealt by ranges of scores: no window over a stream's rows."""
     from tidemark.functions import thresholds

@@ -31,36 +31,72 @@ def bank(rows: DataFrame, key: str, cap: int = CAP) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(cap)
 
 
+class _Contexts:
+    """Some contexts: their points as the products read them, and the room that
+    the products share."""
+
+    def __init__(self, x: np.ndarray, reach: float):
+        self.x, self.square = x, np.einsum("ij,ij->i", x, x)
+        self.span = np.sqrt(self.square) + reach
+        self.wide, self.room = {}, {}
+
+    def apart(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distances less |x|^2, room for as many tests)."""
+        kind, n = y.dtype, len(self.x) * y.shape[1]
+        if kind not in self.wide:
+            with np.errstate(over="ignore"):
+                self.wide[kind] = np.concatenate([self.x, np.ones((len(self.x), 1))], axis=1).astype(kind)
+        if kind not in self.room or len(self.room[kind][0]) < n:
+            self.room[kind] = np.empty(n, kind), np.empty(n, bool)
+        out, test = (r[:n].reshape(len(self.x), -1) for r in self.room[kind])
+        return np.matmul(self.wide[kind], y, out=out), test
+
+
 class _Shard:
-    """Bank rows within a task: their points, and [-2 y, |y|^2] for the products."""
+    """Bank rows within a task: their points, and [-2 y, |y|^2] for the products,
+    in blocks that lie as a product reads them."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
         self.ids, self.points = ids, points
         self.square = np.einsum("ij,ij->i", points, points, dtype="f8")
         self.reach = float(np.sqrt(np.max(self.square, initial=0.0)))
-        self.single = self.widened(slice(None), np.float32)
+        self.parts = [slice(a, min(a + BLOCK_ROWS, len(ids))) for a in range(0, len(ids), BLOCK_ROWS)]
+        self.single = {part.start: self.widened(part, np.float32) for part in self.parts}
 
     def widened(self, part: slice, kind: type) -> np.ndarray:
+        """The columns of a block; columns that are never near fill up the last 8."""
+        y = self.points[part].astype("f8").T
+        out = np.zeros((len(y) + 1, -(-y.shape[1] // 8) * 8), kind)
+        out[-1] = np.inf
         with np.errstate(over="ignore"):
-            return np.concatenate([-2 * self.points[part].astype("f8"), self.square[part, None]], axis=1).astype(kind)
+            out[:-1, : y.shape[1]] = -2 * y
+            out[-1, : y.shape[1]] = self.square[part]
+        return out
 
-    def near(self, x: np.ndarray, part: slice, within: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, x: np.ndarray | _Contexts, part: slice, within: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(context, bank row) pairs of a part, with all that are no farther than
         ``within`` or among the ``most`` nearest; it may hold others."""
-        square = np.einsum("ij,ij->i", x, x)
-        span = np.sqrt(square) + self.reach
+        own = x if isinstance(x, _Contexts) else _Contexts(x, self.reach)
+        size, bounded = part.stop - part.start, np.isfinite(within).all()
         for kind in (np.float32, np.float64):
-            y = self.single[part] if kind is np.float32 else self.widened(part, kind)
+            y = self.single[part.start] if kind is np.float32 and part in self.parts else self.widened(part, kind)
             with np.errstate(all="ignore"):
-                apart = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(kind) @ y.T
-                slack = np.where(span < 1e15, (x.shape[1] + 8) * np.finfo(kind).eps * span * span + 1e-30, np.inf)
-                limit = (within + 1e-9) ** 2 - square + slack
-                if not np.isfinite(within).all() and apart.shape[1] > most:
-                    limit = np.minimum(limit, np.partition(apart, most - 1, axis=1)[:, most - 1] + 2 * slack)
-                close = ~(apart > np.nextafter(limit.astype(kind), kind(np.inf))[:, None])
+                apart, close = own.apart(y)
+                slack = np.where(own.span < 1e15, (own.x.shape[1] + 8) * np.finfo(kind).eps * own.span * own.span + 1e-30, np.inf)
+                limit = (within + 1e-9) ** 2 - own.square + slack
+                if not bounded and size > most:
+                    limit = np.minimum(limit, np.partition(apart[:, :size], most - 1, axis=1)[:, most - 1] + 2 * slack)
+                np.greater(apart, np.nextafter(limit.astype(kind), kind(np.inf))[:, None], out=close)
+            np.logical_not(close, out=close)
             if np.count_nonzero(close) <= _DENSE * close.size:
                 break
-        return np.divmod(np.flatnonzero(close), close.shape[1])
+        # few are close, so 8 tests are looked at as one number first
+        eight = close.reshape(-1, 8)
+        some = np.flatnonzero(eight.view(np.uint64) != 0)
+        k, bit = np.nonzero(eight[some])
+        p, q = np.divmod(some[k] * 8 + bit, close.shape[1])
+        real = q < size
+        return p[real], q[real]
 
 
 def _merged(rows: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,22 +109,36 @@ def _merged(rows: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) ->
 
 def _best(own: np.ndarray, x: np.ndarray, shard: _Shard, k: int, leave_out_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, distance, neighbour) for some contexts: their k best of a shard."""
-    rows, distance, ids = np.zeros(0, int), np.zeros(0), np.zeros(0, "i8")
-    within = np.full(len(x), np.inf)
-    for a in range(0, len(shard.ids), BLOCK_ROWS):
-        p, q = shard.near(x, slice(a, a + BLOCK_ROWS), within, k + leave_out_self)
-        q += a
+    contexts, n = _Contexts(x, shard.reach), len(x)
+    best, ids, count = np.full((n, k), np.inf), np.zeros((n, k), "i8"), np.zeros(n, int)
+    within, found, pairs, due = np.full(n, np.inf), [], 0, 0
+    for block, part in enumerate(shard.parts):
+        p, q = shard.near(contexts, part, within, k + leave_out_self)
+        found.append((p, q + part.start))
+        pairs += len(p)
+        # limits fall ever more slowly, so they are renewed ever more rarely
+        if block < due and pairs < _PAIRS and block + 1 < len(shard.parts):
+            continue
+        p, q = (np.concatenate(f) for f in zip(*found, strict=True))
+        found, pairs, due = [], 0, block + 1 + block // 4
         if leave_out_self:
             other = own[p] != shard.ids[q]
             p, q = p[other], q[other]
         for e in range(0, len(p), _PAIRS):
             s, t = p[e : e + _PAIRS], q[e : e + _PAIRS]
             d = np.round(np.sqrt(((x[s] - shard.points[t]) ** 2).sum(1)), 9)
-            rows, distance, ids = _merged(np.append(rows, s), np.append(distance, d), np.append(ids, shard.ids[t]), k)
-        count = np.bincount(rows, minlength=len(x))
+            # only contexts that have pairs are merged
+            touched = np.unique(s)
+            row, place = np.nonzero(np.arange(k) < count[touched, None])
+            row = touched[row]
+            row, d, t = _merged(np.append(row, s), np.append(best[row, place], d), np.append(ids[row, place], shard.ids[t]), k)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best[row, place], ids[row, place] = d, t
+            count[touched] = np.bincount(row, minlength=n)[touched]
         full = count == k
-        within[full] = distance[(np.cumsum(count) - 1)[full]]
-    return rows, distance, ids
+        within[full] = best[full, k - 1]
+    rows, place = np.nonzero(np.arange(k) < count[:, None])
+    return rows, best[rows, place], ids[rows, place]
 
 
 def _read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
