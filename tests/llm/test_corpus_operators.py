@@ -420,6 +420,34 @@ def test_fenwick_chains_match_quadratic():
         assert sorted(k for c in got for k in c) == list(range(len(frags)))
 
 
+def test_pairs_with_few_shared_words_cost_no_call(monkeypatch):
+    """All pairs' fragments come from one call, and pairs that can't reach a chain's words
+    are not looked at; alignments that can't gain are not followed."""
+    import pyarrow as pa
+
+    calls, seeds = [], substring_dedup.fragments
+    monkeypatch.setattr(substring_dedup, "fragments", lambda *a: calls.append(len(a[0])) or seeds(*a))
+    line, passage = " ".join(f"l{k}" for k in range(10)), " ".join(f"p{k}" for k in range(80))
+    texts = [f"{' '.join(f'a{d}-{k}' for k in range(30))} {line} {passage if d in (0, 7) else ''}" for d in range(40)]
+    rows = pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": texts, "q": pa.array([0] * 40, pa.int32())})
+    found = substring_dedup.chain_up(rows, substring_dedup._FIRST.empty_table())
+    assert len(calls) <= 1
+    chain = {(int(c[0]), other) for other, blob in zip(found["other"].to_pylist(), found["chain"].to_pylist(), strict=True) for c in np.frombuffer(blob, "<u4").reshape(-1, 5)}
+    assert (7, 0) in chain
+    asked = []
+
+    class Word(int):
+        def __eq__(self, other):
+            asked.append(1)
+            return int(self) == int(other)
+
+        __hash__ = int.__hash__
+
+    x, y = [Word(k) for k in range(60)], [Word(k) for k in (*range(20), *range(100, 140))]
+    assert substring_dedup.extend(x, y) == (20, 20, 0)
+    assert len(asked) < 100
+
+
 def test_chains_take_the_best_predecessor_in_reach():
     reach, cost = substring_dedup.MAX_GAP, substring_dedup.GAP_COST
     fuzzy = [(400 + 7 * k, 400 + 7 * k, 5) for k in range(9)]

@@ -105,8 +105,11 @@ class Group:
                 # a window ends with its document: shorter ones take what there is
                 ahead = np.where(of[k : len(of) - width + 1 + k] == of[: len(low)], part[k : len(part) - width + 1 + k], low)
                 low = np.minimum(low, ahead)
-            kept.append(a + np.flatnonzero(np.isin(part, low)))
-        at = np.unique(np.concatenate(kept))
+            least = np.zeros(len(part), bool)  # ranks differ, so equal is the same place
+            for k in range(width):
+                least[k : k + len(low)] |= part[k : k + len(low)] == low
+            kept.append(a + np.flatnonzero(least))
+        at = kept[0] if len(kept) == 1 else np.unique(np.concatenate(kept))
         of = self.document[first[at]]
         at, of = at[~self.skip[of]], of[~self.skip[of]]
         h, i = h[at], first[at] - self.bounds[of]
@@ -129,23 +132,51 @@ class Group:
         return self.hashes[self.bounds[document] : self.bounds[document + 1]]
 
 
+def firsts(h: np.ndarray, of: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each entry's hash in ascending order, for each hash its
+    first entry by doc_id and then place). ``ids`` has the documents' doc_ids; the
+    16 bits that a seed's hash leaves free hold their rank."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = _U((1 << (64 - 8 * SEED_BYTES)) - 1)
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.uint64)
+    if len(ids) > int(low):
+        order, begin = first_of([h], ids[of])
+        number = np.empty(len(h), np.int64)
+        number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+        return number, order[begin]
+    key = h | rank[of]
+    order = np.argsort(key)
+    key = key[order]
+    edge = np.append(True, key[1:] != key[:-1])
+    new = np.append(True, (key[1:] ^ key[:-1]) > low)
+    place = np.flatnonzero(edge)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    # equal keys are in any order
+    return number, np.minimum.reduceat(order, place)[new[place]]
+
+
 # -- chaining
 
 
-def fragments(i: np.ndarray, j: np.ndarray, size: np.ndarray | int = K) -> np.ndarray:
-    """Rows (i, j, words) of what seeds on one diagonal cover together, by i."""
-    size = np.broadcast_to(np.asarray(size, np.int64), len(i))
-    order = np.lexsort((i, j - i))
-    i, j, size = i[order], j[order], size[order]
-    begin = np.append(True, (j - i)[1:] != (j - i)[:-1]) if len(i) else np.zeros(0, bool)
+def fragments(i: np.ndarray, j: np.ndarray, size: np.ndarray | int = K, pair: np.ndarray | int = 0) -> np.ndarray:
+    """Rows (i, j, words) of what seeds on one diagonal cover together, by i. With
+    the number of a pair of documents for each seed, that of all pairs, one after
+    another, and the number as a fourth column."""
+    size, several = np.broadcast_to(np.asarray(size, np.int64), len(i)), isinstance(pair, np.ndarray)
+    pair = np.broadcast_to(np.asarray(pair, np.int64), len(i))
+    order = np.lexsort((i, j - i, pair))
+    i, j, size, pair = i[order], j[order], size[order], pair[order]
+    begin = np.append(True, ((j - i)[1:] != (j - i)[:-1]) | (pair[1:] != pair[:-1])) if len(i) else np.zeros(0, bool)
     # ends so far on a diagonal: each diagonal lies far above the one before
     above = np.cumsum(begin) << 40
     ends = np.maximum.accumulate(i + size + above)
     begin[1:] |= (i + above)[1:] > ends[:-1]
     start = np.flatnonzero(begin)
     last = np.append(start[1:], len(i)) - 1
-    out = np.stack([i[start], j[start], (ends - above)[last] - i[start]], axis=1)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
+    out = np.stack([i[start], j[start], (ends - above)[last] - i[start], pair[start]], axis=1)
+    return out[np.lexsort((out[:, 1], out[:, 0], out[:, 3]))][:, : 4 if several else 3]
 
 
 class RangeMax:
@@ -240,53 +271,94 @@ def chains(frags: np.ndarray) -> list[list[int]]:
 # -- alignment
 
 
-def _slide(x: list[int], y: list[int], i: int, j: int) -> int:
-    n = min(len(x) - i, len(y) - j)
-    k = 0
-    while k < n and x[i + k] == y[j + k]:
-        k += 1
-    return k
-
-
 def extend(x: list[int], y: list[int]) -> tuple[int, int, int]:
     """The best common beginning of two word lists: (words of x, of y, edits).
 
     Furthest-reaching ends by number of edits; the score is the mean length
-    minus EDIT_COST for each edit, given up DROP below the best.
+    minus EDIT_COST for each edit, given up DROP below the best. An edit adds one
+    word at most, so an end whose equal words to come can't outweigh the next edit
+    is not followed.
     """
-    reach = {0: _slide(x, y, 0, 0)}
-    best, out, edits = float(reach[0]), (reach[0], reach[0], 0), 0
+    n, m, k = len(x), len(y), 0
+    most = min(n, m)
+    while k < most and x[k] == y[k]:
+        k += 1
+    need = EDIT_COST - 1
+    if most - k <= need:
+        return k, k, 0
+    # words of x from each place on that y has too
+    has, total, common = set(y[k:]), 0, [0] * (n + 1)
+    for i in range(n - 1, k - 1, -1):
+        if x[i] in has:
+            total += 1
+        common[i] = total
+    if total <= need:
+        return k, k, 0
+    x, y = [*x, -1], [*y, -2]
+    reach = {0: k}
+    best, out, edits = float(k), (k, k, 0), 0
     while reach and edits < MAX_GAP:
         edits += 1
         after: dict[int, int] = {}
         for d, i in reach.items():
-            for dd, ii in ((d, i + 1), (d - 1, i), (d + 1, i + 1)):
-                j = ii - dd
-                if ii <= len(x) and 0 <= j <= len(y) and after.get(dd, -1) < ii:
-                    after[dd] = ii
+            j = i - d
+            if i < n and j < m and after.get(d, -1) <= i:
+                after[d] = i + 1
+            if j < m and after.get(d - 1, -1) < i:
+                after[d - 1] = i
+            if i < n and after.get(d + 1, -1) <= i:
+                after[d + 1] = i + 1
         reach = {}
+        cost = EDIT_COST * edits
         for d, i in after.items():
-            i += _slide(x, y, i, i - d)
-            value = (2 * i - d) / 2 - EDIT_COST * edits
+            j = i - d
+            while x[i] == y[j]:
+                i += 1
+                j += 1
+            value = (i + j) / 2 - cost
             if value > best:
-                best, out = value, (i, i - d, edits)
-            if value >= best - DROP:
+                best, out = value, (i, j, edits)
+            if value >= best - DROP and value + min(common[i], m - j) - need > best:
                 reach[d] = i
     return out
 
 
-def edit_distance(x: list[int], y: list[int]) -> int:
-    """Word edits that turn x into y."""
-    reach, edits, goal = {0: _slide(x, y, 0, 0)}, 0, len(x) - len(y)
-    while reach.get(goal, -1) < len(x):
+def edit_distance(x: list[int], y: list[int], most: int | None = None) -> int:
+    """Word edits that turn x into y; with ``most``, any number beyond it if
+    there are more."""
+    n, m = len(x), len(y)
+    if not n or not m:
+        return n + m
+    limit = n + m if most is None else most
+    if abs(n - m) > limit:
+        return limit + 1
+    k, goal = 0, n - m
+    x, y = [*x, -1], [*y, -2]
+    while x[k] == y[k]:
+        k += 1
+    reach, edits = {0: k}, 0
+    while reach.get(goal, -1) < n:
         edits += 1
+        if edits > limit:
+            return edits
         after: dict[int, int] = {}
         for d, i in reach.items():
-            for dd, ii in ((d, i + 1), (d - 1, i), (d + 1, i + 1)):
-                j = ii - dd
-                if ii <= len(x) and 0 <= j <= len(y) and after.get(dd, -1) < ii:
-                    after[dd] = ii
-        reach = {d: i + _slide(x, y, i, i - d) for d, i in after.items()}
+            j = i - d
+            if i < n and j < m and after.get(d, -1) <= i:
+                after[d] = i + 1
+            if j < m and after.get(d - 1, -1) < i:
+                after[d - 1] = i
+            if i < n and after.get(d + 1, -1) <= i:
+                after[d + 1] = i + 1
+        reach = {}
+        for d, i in after.items():
+            # what is left of the edits must lead to the end
+            if abs(d - goal) <= limit - edits:
+                j = i - d
+                while x[i] == y[j]:
+                    i += 1
+                    j += 1
+                reach[d] = i
     return edits
 
 
@@ -326,7 +398,7 @@ def align(x: list[int], y: list[int], chain: list[tuple[int, int, int]]) -> Iter
         a, b, w = a + skip, b + skip, w - skip
         if w <= 0:
             continue
-        cost = edit_distance(x[i1:a], y[j1:b])
+        cost = edit_distance(x[i1:a], y[j1:b], (DROP + max(a - i1, b - j1)) // EDIT_COST)
         if EDIT_COST * cost - max(a - i1, b - j1) > DROP:
             todo.append(([], []))
         else:
@@ -373,9 +445,10 @@ def enter(parts: int):
     def run(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _ENTRY.empty_table()
-        s = Group(rows, _copies(verdicts)).seeds()
-        order, begin = first_of([s["h"]], s["id"])
-        at = order[begin]
+        group = Group(rows, _copies(verdicts))
+        s = group.seeds()
+        s["first"] = firsts(s["h"], s["of"], group.ids)[1]
+        at = s["first"]
         at = at[np.lexsort((s["i"][at], s["id"][at]))]
         h, d, i = s["h"][at], s["id"][at], s["i"][at].astype("<u4")
         q = rows.column("q")[0].as_py()
@@ -396,19 +469,31 @@ def first_documents(rows: pa.Table) -> pa.Table:
     return packed_table([(k, a.tobytes(), b.tobytes(), c.tobytes(), None, None) for k, (a, b, c) in split(q[late], [h[late], d[source[late]], i[source[late]]])], _FIRST)
 
 
-def _anchors(s: dict[str, np.ndarray], verdicts: pa.Table) -> tuple[np.ndarray, ...]:
-    """(document, place, earlier document, its place, words) of the shared seeds."""
-    h = np.concatenate([s["h"], joined(verdicts.column("h"), "<u8")])
-    d = np.concatenate([s["id"], joined(verdicts.column("d"), "<i8")])
-    i = np.concatenate([s["i"], joined(verdicts.column("i"), "<u4").astype(np.int64)])
-    order, begin = first_of([h], d)
-    source = np.empty(len(h), np.int64)
-    source[order] = np.repeat(order[begin], np.diff(np.append(begin, len(h)))) if len(h) else 0
-    source = source[: len(s["h"])]
-    late = np.flatnonzero(s["id"] > d[source])
+def _anchors(group: Group, verdicts: pa.Table) -> tuple[np.ndarray, ...]:
+    """(document, place, earlier document, its place, words) of the shared seeds.
+    A verdict names a document that is earlier than the group's own first one."""
+    s = group.seeds()
+    number, first = firsts(s["h"], s["of"], group.ids)
+    d, j = s["id"][first], s["i"][first].astype(np.int64)
+    h = joined(verdicts.column("h"), "<u8")
+    if len(h) and len(first):
+        told = np.argsort(h)
+        own = s["h"][first]
+        at = told[np.minimum(np.searchsorted(h, own, sorter=told), len(h) - 1)]
+        hit = h[at] == own
+        d = np.where(hit, joined(verdicts.column("d"), "<i8")[at], d)
+        j = np.where(hit, joined(verdicts.column("i"), "<u4")[at].astype(np.int64), j)
+    late = np.flatnonzero(s["id"] > d[number])
     last = s["seed"][late] + s["span"][late] - 1
     size = s["place"][last] - s["i"][late] + K
-    return s["of"][late], s["i"][late], d[source[late]], i[source[late]], size
+    return s["of"][late], s["i"][late], d[number[late]], j[number[late]], size
+
+
+def _pairs(of: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by other document and document, where each pair of them begins)."""
+    order = np.lexsort((of, other))
+    of, other = of[order], other[order]
+    return order, np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (other[1:] != other[:-1]))) if len(of) else np.zeros(0, np.int64)
 
 
 def chain_up(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
@@ -416,26 +501,29 @@ def chain_up(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
     of it that they need."""
     if not rows.num_rows:
         return _CHAIN.empty_table()
-    of, i, other, j, size = _anchors(Group(rows, _copies(verdicts)).seeds(), verdicts)
-    order = np.lexsort((i, of, other))
-    of, i, other, j, size = of[order], i[order], other[order], j[order], size[order]
-    edge = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (other[1:] != other[:-1]))).tolist() + [len(of)] if len(of) else []
-    found: dict[int, list[np.ndarray]] = {}
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        frags = fragments(i[a:b], j[a:b], size[a:b])
-        if frags[:, 2].sum() < MIN_CHAIN:
-            continue
-        for n, c in enumerate(chains(frags)):
-            rows_of = frags[c]
-            if rows_of[:, 2].sum() < MIN_CHAIN:
-                continue
-            found.setdefault(int(other[a]), []).append(np.column_stack([np.full(len(c), of[a]), np.full(len(c), n), rows_of]))
+    found = of, i, other, j, size = _anchors(Group(rows, _copies(verdicts)), verdicts)
+    order, begin = _pairs(of, other)
+    if not len(begin):
+        return _CHAIN.empty_table()
+    # fragments have no more words than their seeds
+    many = np.repeat(np.add.reduceat(size[order], begin) >= MIN_CHAIN, np.diff(np.append(begin, len(order))))
+    of, i, other, j, size = (c[order[many]] for c in found)
+    _, begin = _pairs(of, other)
+    pair = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(of))))
+    frags = fragments(i, j, size, pair)
+    edge = np.flatnonzero(np.append(True, frags[1:, 3] != frags[:-1, 3])) if len(frags) else np.zeros(0, np.int64)
+    words = np.add.reduceat(frags[:, 2], edge) if len(edge) else edge
+    out: dict[int, list[tuple[int, ...]]] = {}
+    of, other, ends = of[begin].tolist(), other[begin].tolist(), [*edge[1:].tolist(), len(frags)]
+    for p in np.flatnonzero(words >= MIN_CHAIN).tolist():
+        each = frags[edge[p] : ends[p], :3]
+        table = each.tolist()
+        for n, c in enumerate(chains(each)):
+            if sum(table[f][2] for f in c) >= MIN_CHAIN:
+                out.setdefault(other[p], []).extend((of[p], n, *table[f]) for f in c)
     q = rows.column("q")[0].as_py()
-    out = []
-    for k, v in found.items():
-        c = np.concatenate(v).astype("<u4")
-        out.append((q, k, int(c[:, 3].min()), int((c[:, 3] + c[:, 4]).max()), c.tobytes()))
-    return packed_table(out, _CHAIN)
+    chained = [(k, np.array(v, "<u4")) for k, v in out.items()]
+    return packed_table([(q, k, int(c[:, 3].min()), int((c[:, 3] + c[:, 4]).max()), c.tobytes()) for k, c in chained], _CHAIN)
 
 
 def hand_over(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -464,7 +552,7 @@ def passages_of(rows: pa.Table, told: pa.Table) -> pa.Table:
         n = int(group.bounds[k + 1] - group.bounds[k])
         if d in source and not group.skip[k] and n >= MIN_WORDS:
             out.append((d, 0, n, source[d], 0, n, 0))
-    spans = {o: (low, np.frombuffer(s, "<u4").tolist()) for o, low, s in zip(*(told.column(c).to_pylist() for c in ("other", "low", "span")), strict=True) if s is not None}
+    spans = {o: (low, np.frombuffer(s, "<u4")) for o, low, s in zip(*(told.column(c).to_pylist() for c in ("other", "low", "span")), strict=True) if s is not None}
     for other, blob in zip(told.column("other").to_pylist(), told.column("chain").to_pylist(), strict=True):
         if blob is None or other not in spans:
             continue
@@ -472,19 +560,23 @@ def passages_of(rows: pa.Table, told: pa.Table) -> pa.Table:
         c = np.frombuffer(blob, "<u4").reshape(-1, 5).astype(np.int64)
         edge = np.flatnonzero(np.append(True, (c[1:, 0] != c[:-1, 0]) | (c[1:, 1] != c[:-1, 1]))).tolist() + [len(c)]
         done: dict[int, np.ndarray] = {}
-        lists: tuple[int, list[int]] = (-1, [])
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             k = int(c[a, 0])
-            if lists[0] != k:
-                lists = (k, _short(group.words(k)).tolist())
+            words = group.words(k)
             # what an earlier, better chain of the pair has covered is not aligned again
-            cover = done.setdefault(k, np.zeros(len(lists[1]), bool))
+            if k not in done:
+                done[k] = np.zeros(len(words), bool)
+            cover = done[k]
             if cover[c[a:b, 2]].all():
                 continue
-            chain = [(int(i), int(j) - low, int(w)) for i, j, w in c[a:b, 2:]]
-            for i0, i1, j0, j1, edits in align(lists[1], y, chain):
-                cover[i0:i1] = True
-                out.append((int(group.ids[k]), i0, i1 - i0, other, j0 + low, j1 - j0, edits))
+            # an alignment reaches MAX_GAP words beyond its chain at most
+            ends = c[a:b, 2:4] + c[a:b, 4:]
+            from_i, from_j = (np.maximum(c[a:b, 2:4].min(0) - (0, low) - MAX_GAP, 0)).tolist()
+            to_i, to_j = (ends.max(0) - (0, low) + MAX_GAP).tolist()
+            chain = [(i - from_i, j - low - from_j, w) for i, j, w in c[a:b, 2:].tolist()]
+            for i0, i1, j0, j1, edits in align(_short(words[from_i:to_i]).tolist(), y[from_j:to_j].tolist(), chain):
+                cover[from_i + i0 : from_i + i1] = True
+                out.append((int(group.ids[k]), from_i + i0, i1 - i0, other, from_j + j0 + low, j1 - j0, edits))
     return packed_table(out, _PASSAGE)
 
 
