@@ -196,6 +196,31 @@ def test_line_dedup(spark, documents, empty):
     assert line_dedup.report(empty).count() == 0
 
 
+def test_line_dedup_leading_words(spark):
+    """The join without the first pass: the leading words of the smaller set meet
+    all alike, few words lead, and both sides come from one shuffle."""
+    rng, sets = random.Random(7), []
+    while len(sets) < 300:
+        s = set(rng.sample(range(400), rng.randrange(4, 60))) if not sets or rng.random() < 0.3 else set(rng.choice(sets))
+        for _ in range(rng.randrange(0, 7)):
+            if len(s) > 4 and rng.random() < 0.5:
+                s.discard(rng.choice(sorted(s)))
+            else:
+                s.add(rng.randrange(400))
+        if s not in sets:
+            sets.append(s)
+    rows = spark.createDataFrame([(i, " ".join(f"w{w}" for w in s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    texts = line_dedup.placed(rows)
+    entries = line_dedup._entries(line_dedup.line_classes(texts).where("n > 0"))
+    assert entries.where(line_dedup._leads(F.col("size"))).count() == sum(len(s) // 9 + 1 for s in sets)
+    pairs = line_dedup.all_pairs(entries)
+    found = {(r.d, r.d_e) for r in pairs.collect()}
+    alike = {(i, j) for i, s in enumerate(sets) for j in range(i) if 9 * len(s & sets[j]) >= 4 * (len(s) + len(sets[j]))}
+    assert len(alike) > 100 and alike <= found and all(j < i for i, j in found)
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {r.d for r in line_dedup.verified(pairs, texts).collect()} == {i for i, _ in alike}
+
+
 # -- decontamination
 
 

@@ -5,12 +5,14 @@ A line is the set of its words; two lines are alike at a Jaccard similarity of
 rarity rank of that hash bucket, so sorting a line's words puts its rare ones
 first: the ranks are one array of 65,536 numbers at any corpus size, and hashes
 stay distinct because ranks permute the buckets. Lines with equal sets are one
-class from the start. A class enters its prefix words; classes that share one
-and pass the length and positional filters are compared word by word.
+class from the start. A class enters its prefix words, the first of which lead:
+of two sets alike, a leading word of the smaller is a prefix word of the other.
+Classes that meet so and pass the length and positional filters are compared
+word by word.
 
 A line goes if any earlier line (by doc_id, then line number) is alike,
 judged on the input. One earlier match is enough, so each class is first held
-against the earliest class under each of its prefix words; only those that are
+against the earliest class under each of its leading words; only those that are
 still unmatched are held against all earlier ones. A group of thousands of
 variants of one line thus costs a row each, not a row for each pair.
 
@@ -69,8 +71,8 @@ def _document() -> tuple[Column, Column]:
 def rarity_masks(texts: DataFrame) -> DataFrame:
     """One row: for each of the 65,536 hash buckets, what turns the bucket into
     its rank from rare to frequent (as a signed number) by an exclusive or."""
-    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    words = texts.select(F.explode(_split_words(flat)).alias("w")).where("w <> ''")
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("t"))
+    words = lines.select(F.explode(_split_words(F.col("t"))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("bucket")).agg(F.count("*").alias("n"))
     every = texts.sparkSession.range(_BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     sizes = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -89,7 +91,7 @@ def _by_rarity(hashes: Column, masks: Column) -> Column:
     """Hashes with their bucket's rank for the bucket, in ascending order. (No
     entry is ever null; saying so lets Spark sort plain numbers.)"""
     def key(h: Column) -> Column:
-        return h.bitwiseXOR(F.coalesce(F.get(masks, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long")))
+        return h.bitwiseXOR(F.coalesce(F.get(masks, F.shiftrightunsigned(h, 48)), F.lit(0).cast("long")))
 
     return F.sort_array(F.transform(hashes, key))
 
@@ -146,13 +148,28 @@ def _entries(classes: DataFrame) -> DataFrame:
 
 
 def _is_open(size: Column) -> Column:
-    return size.bitwiseAND(F.lit(1 << _OPEN_BIT))
+    return size.bitwiseAND(F.lit(1 << _OPEN_BIT)) > 0
+
+
+def _words(size: Column) -> Column:
+    return F.shiftright(size, _OPEN_BIT + 1)
+
+
+def _position(size: Column) -> Column:
+    return size.bitwiseAND(F.lit((1 << _OPEN_BIT) - 1))
+
+
+def _leads(size: Column) -> Column:
+    """Whether the word is one of the first in which a set meets any other that
+    is alike and no smaller: among the prefix words of that other, one at least
+    of these is found."""
+    return (OF + ALIKE) * _position(size) <= (OF - ALIKE) * _words(size)
 
 
 def _may_be_alike(a: str, b: str) -> Column:
     """Parity, length and positional filters: enough words can still be shared.
     The parities go first, as hardly any pair gets past them."""
-    (na, pa), (nb, pb) = ((F.shiftright(F.col(x.format("size")), _OPEN_BIT + 1), F.col(x.format("size")).bitwiseAND(F.lit((1 << _OPEN_BIT) - 1))) for x in (a, b))
+    (na, pa), (nb, pb) = ((_words(F.col(x.format("size"))), _position(F.col(x.format("size")))) for x in (a, b))
     rest = F.least(na - pa, nb - pb)
     apart = [F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in ("parity", "parity2")]
     few = lambda bits: (OF + ALIKE) * bits <= (OF - ALIKE) * (na + nb)
@@ -170,21 +187,29 @@ def _named(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
 
 
 def earliest_pairs(entries: DataFrame) -> DataFrame:
-    """(place, earlier place): the earliest class under each prefix word."""
-    rows = entries.withColumn("x", F.min(F.struct(*PLACE, "size", "parity", "parity2")).over(Window.partitionBy("word")))
+    """(place, earlier place): the earliest class under each leading word."""
+    rows = entries.where(_leads(F.col("size"))).withColumn("x", F.min(F.struct(*PLACE, "size", "parity", "parity2")).over(Window.partitionBy("word")))
     rows = rows.where(_may_be_alike("{}", "x.{}") & _earlier("x.{}", "{}"))
     return rows.select(*PLACE, *(F.col(f"x.{c}").alias(f"{c}_e") for c in PLACE)).distinct()
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
     """(place, earlier place) of the classes still open with all earlier ones.
+    The leading words of the smaller set meet all prefix words of the other.
     Both sides are the same rows, so that they are dealt once: the test for
-    openness names both sides to stay in the join."""
+    leading words is made behind the shuffle, where the row number, which is
+    never negative, holds it."""
+    # none is null; said before the shuffle, as Spark would say it for one side only
+    dealt = entries.where("size is not null and parity is not null and parity2 is not null and word is not null").repartition("word")
+    leading = dealt.where(_leads(F.col("size")) | (F.monotonically_increasing_id() < 0))
     columns = (*PLACE, "size", "parity", "parity2", "word")
-    late, early = _named(entries, "_l", *columns), _named(entries, "_e", *columns)
-    wanted = _is_open(F.greatest("size_l", F.least("size_l", "size_e"))) > 0
-    rows = late.join(early, (F.col("word_l") == F.col("word_e")) & _may_be_alike("{}_l", "{}_e") & wanted & _earlier("{}_e", "{}_l"))
-    return rows.select(*(F.col(f"{c}_l").alias(c) for c in PLACE), *(f"{c}_e" for c in PLACE)).distinct()
+    large, small = _named(dealt, "_l", *columns), _named(leading, "_s", *columns)
+    wanted = F.when(_earlier("{}_s", "{}_l"), _is_open(F.col("size_l"))).otherwise(_earlier("{}_l", "{}_s") & _is_open(F.col("size_s")))
+    rows = large.join(small, (F.col("word_l") == F.col("word_s")) & _may_be_alike("{}_l", "{}_s") & (_words(F.col("size_s")) <= _words(F.col("size_l"))) & wanted)
+    late = F.greatest(*(F.struct(*(F.col(f"{c}_{side}").alias(c) for c in PLACE)) for side in "ls"))
+    early = F.least(*(F.struct(*(F.col(f"{c}_{side}").alias(c) for c in PLACE)) for side in "ls"))
+    rows = rows.select(late.alias("late"), early.alias("early"))
+    return rows.select(*(F.col(f"late.{c}").alias(c) for c in PLACE), *(F.col(f"early.{c}").alias(f"{c}_e") for c in PLACE)).distinct()
 
 
 def _in_map(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
@@ -232,15 +257,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def kept_places(texts: DataFrame) -> DataFrame:
     """d, h and ``kept``: the sorted numbers of the lines that stay, of each
-    place that has any; lines without words are not listed."""
+    place that holds the first of any class; lines without words are not listed."""
     classes = written(line_classes(texts), "line-classes").where("n > 0")
     pairs = written(earliest_pairs(_entries(classes)), "pairs")
     first = written(verified(pairs, texts), "matched")
     pairs = written(all_pairs(_entries(_with_open(classes, first))), "pairs")
     rest = written(verified(pairs, texts), "matched")
-    stay = _with_open(classes.select(*PLACE), first.union(rest)).where("open = 1")
+    gone = _lines(first.union(rest), "gone")
+    rows = _lines(classes, "kept").join(gone, ["d", "h"], "left")
+    return rows.select("d", "h", F.sort_array(F.array_except("kept", F.coalesce("gone", F.array().cast("array<int>")))).alias("kept"))
+
+
+def _lines(places: DataFrame, name: str) -> DataFrame:
+    """The numbers of the lines of each text of which there are places."""
     line = F.shiftright("e", _TEXT_BITS).cast("int")
-    return stay.groupBy("d", F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("h")).agg(F.sort_array(F.collect_list(line)).alias("kept"))
+    return places.groupBy("d", F.col("e").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("h")).agg(F.collect_list(line).alias(name))
 
 
 def _blank(line: Column) -> Column:
